@@ -184,8 +184,8 @@ def lcs(a: list, b: list, same) -> list[tuple[int, int]]:
         if same(a[i], b[j]) and table[i][j] == table[i + 1][j + 1] + 1:
             pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
+        elif table[i + 1][j] > table[i][j + 1] or (table[i + 1][j] == table[i][j + 1] and i <= j):
+            i += 1  # of equally long ones the one nearest to the diagonal, which keeps headers aligned
         else:
             j += 1
     return pairs
