@@ -25,6 +25,8 @@ _PLAIN = {**WIDE, **dict.fromkeys(map(ord, SPACES), 32)}
 BASE_TABLE = {**_PLAIN, **_DROP}
 FULL_TABLE = {**BASE_TABLE, **{ord(k): ord(v) for k, v in LOOKALIKE.items()}}
 _MAPPED = re.compile("[" + re.escape(INVISIBLE) + "]|[̀-ͯ]")
+_ODD = re.compile("[！-～" + re.escape(SPACES) + "]+")
+_ODD_OR_GONE = re.compile("[！-～" + re.escape(SPACES + INVISIBLE) + "]+")
 WORD = re.compile(r"[^\W\d_]+")
 _FOREIGN = re.compile("[" + "".join(LOOKALIKE) + "]")
 
@@ -33,7 +35,8 @@ def plain(text: str) -> str:
     """Full-width forms, spaces, invisible characters and combining accents in one form; letters stay."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(BASE_TABLE))
+    # long texts hold few such characters: a search for runs of them is faster than a table walk
+    return unicodedata.normalize("NFC", _ODD_OR_GONE.sub(lambda m: m[0].translate(BASE_TABLE), text))
 
 
 def skeleton(text: str) -> str:
@@ -66,8 +69,8 @@ def token_target(token: str) -> str:
 def fold(text: str) -> tuple[str, list[int] | None]:
     """Text for detection and, where lengths differ, the original position of every character of it.
 
-    Full-width forms, odd spaces and look-alikes become plain, invisible characters go. Look-alikes are
-    replaced in tokens that hold a Latin letter, or whose neighbour does.
+    Full-width forms, odd spaces and look-alikes become plain, invisible characters go. Look-alikes stay
+    in tokens that speak for their own script.
     """
     if text.isascii():
         return text, None
@@ -85,14 +88,19 @@ def fold(text: str) -> tuple[str, list[int] | None]:
             out.append(c)
             positions.append(i)
         text = "".join(out)
-    text = text.translate(_PLAIN)
-    if _FOREIGN.search(text):
-        text = WORD.sub(_latin, text)
-    return text, positions
-
-
-def _latin(m: re.Match) -> str:
-    token = m[0]
-    if token.isascii() or not _FOREIGN.search(token) or token_target(token) not in ("L", ""):
-        return token
-    return "".join(LOOKALIKE.get(c, c) for c in token)
+    text = _ODD.sub(lambda m: m[0].translate(_PLAIN), text)
+    parts, at = [], 0
+    for m in _FOREIGN.finditer(text):
+        if m.start() < at:
+            continue
+        a, b = m.span()
+        while a > at and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        if token_target(text[a:b]) in ("L", ""):
+            parts += [text[at:a], "".join(LOOKALIKE.get(c, c) for c in text[a:b])]
+        else:
+            parts.append(text[at:b])
+        at = b
+    return ("".join([*parts, text[at:]]) if parts else text), positions

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import lookalikes
+from veilspark.llm import credentials, lookalikes
 from veilspark.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,15 @@ def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
     known = lookalikes.vocabulary(texts.select("text"))
     done = lookalikes.consistent(texts.where(F.col("text").rlike(lookalikes.NON_ASCII)), "text", known)
     return done.where("canonical <> text").dropDuplicates(["src", "row_key"]).select("src", "row_key", "canonical")
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.found(table(spark, sf, "content_record"), table(spark, sf, "sample_pii"))
+
+
+@query
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every content that holds a credential, with its credentials redacted."""
+    content = table(spark, sf, "content_record").select("record_id", "content")
+    return credentials.redacted(content, "content").where("redacted <> content").dropDuplicates(["record_id"]).select("record_id", "redacted")
