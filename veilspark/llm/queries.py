@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import credentials, lookalikes
+from veilspark.llm import credentials, lookalikes, pii
 from veilspark.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,20 @@ def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every content that holds a credential, with its credentials redacted."""
     content = table(spark, sf, "content_record").select("record_id", "content")
     return credentials.redacted(content, "content").where("redacted <> content").dropDuplicates(["record_id"]).select("record_id", "redacted")
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    fields = table(spark, sf, "extracted_field")
+    return pii.found(table(spark, sf, "content_record"), fields, pii.known_names(table(spark, sf, "name_lexicon"), fields))
+
+
+@query
+def p2_scrubbed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text that names a person or how to reach one, with placeholders instead."""
+    content, fields = table(spark, sf, "content_record"), table(spark, sf, "extracted_field")
+    names = pii.known_names(table(spark, sf, "name_lexicon"), fields)
+    texts = content.select(F.lit("content").alias("src"), F.col("record_id").alias("row_key"), F.col("content").alias("text"), F.lit("").alias("path")).unionByName(
+        fields.where("not coalesce(is_key, false)").select(F.lit("field"), "field_id", "value", "path").toDF("src", "row_key", "text", "path")
+    )
+    return pii.scrubbed(texts, "text", names, "path").where("scrubbed <> text").dropDuplicates(["src", "row_key"]).select("src", "row_key", "scrubbed")
