@@ -166,7 +166,6 @@ def consistent(df: DataFrame, column: str, known: DataFrame, out: str = "canonic
     Repairs of tokens do not depend on each other, so a vocabulary of more than MAX_BROADCAST rows is
     applied slice by slice. ASCII texts are their own form and never go to Python.
     """
-    known = cut(known)
     slices = max(1, -(-known.count() // MAX_BROADCAST))
     done: Column = F.col(column)
     for k in range(slices):
@@ -175,19 +174,20 @@ def consistent(df: DataFrame, column: str, known: DataFrame, out: str = "canonic
     return df.withColumn(out, F.when(value.rlike(NON_ASCII), done).otherwise(digest_of(value) if digest else value))
 
 
-def same_looking(members: DataFrame, group: list[str], key: str) -> DataFrame:
+def same_looking(df: DataFrame, group: list[str], key: str, text: str, known: DataFrame) -> DataFrame:
     """Pairs (key_a < key_b) of a group whose stored texts differ but have one consistent form.
 
-    ``members`` has the group's columns, the key, ``form`` (digest of the consistent form), ``stored``
-    (digest of the text as stored) and ``plain`` (whether the stored text is ASCII). At least one text
-    of a pair is not ASCII, so only classes with such a text are kept. Different stored texts of a
-    class are paired first, then expanded to their rows: a class of many copies makes no other pairs
-    than those of the result.
+    At least one text of a pair is not ASCII. So only those texts go to Python; of the others just those
+    are kept whose digest is the form of one. Different stored texts of a class are paired first, then
+    expanded to their rows: a class of many copies makes no other pairs than those of the result.
     """
-    at = [*group, "form"]
-    members = members.dropDuplicates([*at, "stored", key])
-    classes = members.where("not plain").select(*at).distinct()
-    members = members.drop("plain").join(classes, at, "left_semi")
+    at, value = [*group, "form"], F.col(text)
+    df = df.select(*group, key, text).where(value.isNotNull())
+    odd = consistent(df.where(value.rlike(NON_ASCII)), text, known, "form", digest=True)
+    odd = cut(odd.select(*at, digest_of(value).alias("stored"), key).distinct())
+    plain = df.where(~value.rlike(NON_ASCII)).select(*group, digest_of(value).alias("form"), digest_of(value).alias("stored"), key)
+    plain = plain.join(odd.select(*at).distinct(), at, "left_semi").distinct()
+    members = cut(odd.unionByName(plain))
     texts = members.select(*at, "stored").distinct()
     pairs = texts.withColumnRenamed("stored", "stored_a").join(texts.withColumnRenamed("stored", "stored_b"), at).where("stored_a < stored_b")
     left = members.withColumnRenamed("stored", "stored_a").withColumnRenamed(key, "_a")
@@ -199,14 +199,7 @@ def same_looking(members: DataFrame, group: list[str], key: str) -> DataFrame:
 def look_alike_pairs(content: DataFrame, fields: DataFrame) -> DataFrame:
     """All pairs of fields of a record, and of records of a source, that look the same but differ."""
     texts = content.select(F.col("content").alias("text")).unionByName(fields.select(F.col("value").alias("text")))
-    known = vocabulary(texts)
-
-    def members(df: DataFrame, group: list[str], key: str, text: str) -> DataFrame:
-        df = df.select(*group, key, text).where(F.col(text).isNotNull())
-        df = consistent(df, text, known, "form", digest=True)
-        return df.select(*group, key, "form", digest_of(F.col(text)).alias("stored"), (~F.col(text).rlike(NON_ASCII)).alias("plain"))
-
-    known = cut(known)
-    of_fields = same_looking(members(fields, ["record_id"], "field_id", "value"), ["record_id"], "field_id")
-    of_content = same_looking(members(content, ["workspace_id", "source_identifier"], "record_id", "content"), ["workspace_id", "source_identifier"], "record_id")
+    known = cut(vocabulary(texts))
+    of_fields = same_looking(fields, ["record_id"], "field_id", "value", known)
+    of_content = same_looking(content, ["workspace_id", "source_identifier"], "record_id", "content", known)
     return of_fields.select(F.lit("field").alias("src"), "key_a", "key_b").unionByName(of_content.select(F.lit("content").alias("src"), "key_a", "key_b"))
