@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import credentials, lookalikes, pii
+from veilspark.llm import credentials, lookalikes, pii, splitting
 from veilspark.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,32 @@ def p2_scrubbed(spark: SparkSession, sf: str) -> DataFrame:
         fields.where("not coalesce(is_key, false)").select(F.lit("field"), "field_id", "value", "path").toDF("src", "row_key", "text", "path")
     )
     return pii.scrubbed(texts, "text", names, "path").where("scrubbed <> text").dropDuplicates(["src", "row_key"]).select("src", "row_key", "scrubbed")
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.oversized(table(spark, sf, "content_record"), table(spark, sf, "scan_options"), table(spark, sf, "profile_definition"))
+
+
+ORACLE["p5_found"] = """
+WITH RECURSIVE up(root, name) AS (
+    SELECT profile_name, profile_name FROM profile_definition
+    UNION
+    SELECT up.root, u.parent FROM up JOIN (SELECT profile_name, unnest(inherits) AS parent FROM profile_definition) u ON u.profile_name = up.name
+), spans AS (
+    SELECT up.root AS name, max(p.max_pattern_span) AS span FROM up JOIN profile_definition p ON p.profile_name = up.name GROUP BY up.root
+), named AS (
+    SELECT s.scan_id, max(coalesce(spans.span, 0)) AS span
+    FROM (SELECT scan_id, unnest(CASE WHEN len(profile_names) > 0 THEN profile_names ELSE [NULL] END) AS name FROM scan_options) s LEFT JOIN spans USING (name) GROUP BY s.scan_id
+), limits AS (
+    SELECT DISTINCT s.scan_id, s.record_id, greatest(CASE WHEN coalesce(s.chunk_size, 0) > 0 THEN s.chunk_size ELSE 8192 END, 4 * greatest(4096, CAST(floor(n.span * 1.25) AS INTEGER))) AS size
+    FROM scan_options s JOIN named n USING (scan_id)
+)
+SELECT DISTINCT l.scan_id, l.record_id FROM limits l JOIN content_record c USING (record_id) WHERE length(c.content) > l.size
+"""
+
+
+@query
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every oversized record, once for all scans of the same size and overlap."""
+    return splitting.split_scans(table(spark, sf, "content_record"), table(spark, sf, "scan_options"), table(spark, sf, "profile_definition"))[0]
