@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import credentials, lookalikes, pii, splitting
+from veilspark.llm import credentials, leakage, lookalikes, pii, splitting
 from veilspark.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ SELECT DISTINCT l.scan_id, l.record_id FROM limits l JOIN content_record c USING
 def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of every oversized record, once for all scans of the same size and overlap."""
     return splitting.split_scans(table(spark, sf, "content_record"), table(spark, sf, "scan_options"), table(spark, sf, "profile_definition"))[0]
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.found(table(spark, sf, "documents"), table(spark, sf, "eval_item"))
