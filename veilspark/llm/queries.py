@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import credentials, leakage, lookalikes, pii, splitting
+from veilspark.llm import credentials, leakage, lookalikes, pii, residue, splitting
 from veilspark.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.found(table(spark, sf, "documents"), table(spark, sf, "eval_item"))
+
+
+@query
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.found(table(spark, sf, "documents"))
