@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import credentials, leakage, lookalikes, pii, residue, splitting
+from veilspark.llm import credentials, leakage, lookalikes, packing, pii, residue, splitting
 from veilspark.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.found(table(spark, sf, "documents"))
+
+
+@query
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every text with its container, for every container class."""
+    return packing.pack(packing.sizes(table(spark, sf, "documents")), table(spark, sf, "container_spec"))
