@@ -1,0 +1,53 @@
+"""Queries that run the whole pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.operators import scrub as sc
+from veilspark.plans.registry import query, table
+from veilspark.session import tuned
+from veilspark.sources import parse
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return table(tuned(spark), sf, "content_record").select("record_id", "content")
+
+
+@query()
+def scan_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of the credential profile in all records, by type, action and severity."""
+    return sc.entity_breakdown(sc.scan(_records(spark, sf), "record_id", "content", sc.Options(profiles=("BASE_SECURITY",))))
+
+
+@query()
+def scrub_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record's artifact under the credential profile, and what its gates said."""
+    done = sc.scrub(_records(spark, sf), "record_id", "content", sc.Options(profiles=("BASE_SECURITY",)))
+    return done.select("key", "artifact", "refusal", "verified_clean", "complete", F.size("entities").alias("n_entities")).distinct()
+
+
+@query()
+def gate_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Refusals of the payload profile, whose detectors are not all there: it must refuse every artifact."""
+    done = sc.scrub(_records(spark, sf), "record_id", "content", sc.Options(profiles=("PAYMENT_PCI",), destination="FILE"))
+    return done.groupBy("refusal", "verified_clean").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.audit_projection(sc.scan(table(tuned(spark), sf, "documents"), "doc_id", "text", sc.Options(profiles=("DEFAULT_PII",), destination="INTERNAL_SIEM")))
+
+
+@query()
+def action_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.action_counts(sc.scan(table(tuned(spark), sf, "documents"), "doc_id", "text", sc.Options(profiles=("FINANCIAL",), destination="FILE", requested_action="HASH")))
+
+
+@query()
+def flatten_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """The typed payloads as JSON, flattened to path and value."""
+    df = table(tuned(spark), sf, "sample_pii").dropDuplicates(["sample_id"])
+    df = df.select("sample_id", F.to_json(F.struct("request_id", F.col("user_info").alias("user"), "payment", "config", "audit")).alias("payload"), F.lit("json").alias("extension"))
+    return parse.flattened(df, "sample_id", "payload", "extension").select(F.col("key").cast("bigint").alias("sample_id"), F.explode("fields").alias("f")).select("sample_id", "f.*")
