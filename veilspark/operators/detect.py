@@ -99,9 +99,11 @@ def _window(text: str, start: int) -> str:
     return " ".join(_TOKEN.findall(text[begin:at])[-(lx.CONTEXT_TOKENS + 1) :]).lower()
 
 
-def _run(text: str, rules, threshold: float) -> list[Entity]:
+def _run(text: str, rules, threshold: float, only: frozenset[str] | None = None) -> list[Entity]:
     low, out = text.lower(), []
     for rule, patterns, needs in rules:
+        if only is not None and rule.type not in only:
+            continue
         if needs and not any(n in low for n in needs):
             continue
         check = VALIDATORS.get(rule.type)
@@ -119,18 +121,18 @@ def _run(text: str, rules, threshold: float) -> list[Entity]:
     return out
 
 
-def detect(text: str, threshold: float = 0.0, ner: Ner | None = None) -> list[Entity]:
-    """All detections of one text, overlaps included."""
+def detect(text: str, threshold: float = 0.0, ner: Ner | None = None, only: frozenset[str] | None = None) -> list[Entity]:
+    """All detections of one text, overlaps included; of the types in ``only``, where given."""
     if not text or text.isspace():
         return []
     norm, positions = normalize(text)
-    out = _run(norm, _RULES, threshold)
+    out = _run(norm, _RULES, threshold, only)
     if ner:
         out += [Entity(kind, a, b, lx.NER_CONFIDENCE, norm[a:b], "HEURISTIC", ["spacy"]) for kind, a, b in ner(norm) if lx.NER_CONFIDENCE >= threshold]
     joined, back = collapse_spaced(norm)
     extra = []
     if back is not None:
-        for e in _run(joined, _SPACED, threshold):
+        for e in _run(joined, _SPACED, threshold, only):
             a, b = original_span(back, e.start, e.end, len(norm))
             # only what the joining brought to light
             if b - a != e.end - e.start:

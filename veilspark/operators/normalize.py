@@ -25,6 +25,8 @@ def _bases() -> dict[str, str]:
 FOLDS = _bases() | lx.HOMOGLYPHS
 _TABLE = {ord(k): v for k, v in FOLDS.items()} | dict.fromkeys(map(ord, lx.INVISIBLE))
 _SPACED = re.compile(lx.SPACED_RUN)
+_GONE = re.compile("[" + re.escape(lx.INVISIBLE) + "]")
+_FOLDED = re.compile("[" + re.escape("".join(FOLDS)) + "]")
 
 
 def normalize(text: str) -> tuple[str, list[int] | None]:
@@ -41,8 +43,7 @@ def signals(text: str) -> list[str]:
     """What the normalisation says about evasion."""
     if text.isascii():
         return []
-    gone = sum(c in lx.INVISIBLE for c in text)
-    folded = sum(c in FOLDS for c in text)
+    gone, folded = len(_GONE.findall(text)), len(_FOLDED.findall(text))
     out = []
     if gone:
         out.append(f"{gone} zero-width or bidirectional control character(s) removed")

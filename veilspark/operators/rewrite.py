@@ -109,7 +109,7 @@ def verify(text: str, profile: Profile, permitted: dict[str, int], actioned: set
         chars[a:b] = " " * (b - a)
     masked = "".join(chars)
     left, allowance = [], dict(permitted)
-    for e in reconcile(relevant(detect(masked, 0.0, ner), profile))[0]:
+    for e in reconcile(relevant(detect(masked, 0.0, ner, profile.types), profile))[0]:
         if e.type not in actioned or not has_substance(e.text):
             continue
         if any((e.end <= a and not masked[e.end : a].strip()) or (e.start >= b and not masked[b : e.start].strip()) for a, b in marks):

@@ -68,7 +68,7 @@ def process(text: str | None, options: Options, scrub: bool, vault: Vault, allow
             if options.max_bytes is not None and out["bytes_processed"] >= options.max_bytes:
                 truncated = True
                 break
-            found += [e.moved(a) for e in detect(text[a:b], least, options.ner)]
+            found += [e.moved(a) for e in detect(text[a:b], least, options.ner, profile.types)]
             out["bytes_processed"] += len(text[a + overlap : b].encode())
             out["chunks_done"] += 1
         out["warnings"] += signals(text)
@@ -98,7 +98,8 @@ def process(text: str | None, options: Options, scrub: bool, vault: Vault, allow
                     permitted[d.entity.type] = permitted.get(d.entity.type, 0) + 1
             # a suppressed value stands in the artifact by the user's own word
             acted = {d.entity.type for d in decisions if d.applied != "ALLOW"}
-            left = [e for e in verify(rewritten, profile, permitted, acted, options.ner) if e.text not in allowed]
+            # nothing was to be removed: nothing can be left
+            left = [] if not acted else [e for e in verify(rewritten, profile, permitted, acted, options.ner) if e.text not in allowed]
             if left:
                 out["refusal"] = "RESIDUAL_PII_DETECTED"
             else:

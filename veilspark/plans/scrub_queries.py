@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators import scrub as sc
-from veilspark.plans.registry import query, table
+from veilspark.plans.registry import query, table, texts
 from veilspark.session import tuned
 from veilspark.sources import parse
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(tuned(spark), sf, "content_record").select("record_id", "content")
+    return texts(spark, sf, "content_record").select("record_id", "content")
 
 
 @query()
@@ -25,7 +25,7 @@ def scan_records(spark: SparkSession, sf: str) -> DataFrame:
 def scrub_records(spark: SparkSession, sf: str) -> DataFrame:
     """Every record's artifact under the credential profile, and what its gates said."""
     done = sc.scrub(_records(spark, sf), "record_id", "content", sc.Options(profiles=("BASE_SECURITY",)))
-    return done.select("key", "artifact", "refusal", "verified_clean", "complete", F.size("entities").alias("n_entities")).distinct()
+    return done.select("key", "artifact", "refusal", "verified_clean", "complete", F.size("entities").alias("n_entities")).dropDuplicates(["key"])
 
 
 @query()
@@ -37,12 +37,12 @@ def gate_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return sc.audit_projection(sc.scan(table(tuned(spark), sf, "documents"), "doc_id", "text", sc.Options(profiles=("DEFAULT_PII",), destination="INTERNAL_SIEM")))
+    return sc.audit_projection(sc.scan(texts(spark, sf, "documents"), "doc_id", "text", sc.Options(profiles=("DEFAULT_PII",), destination="INTERNAL_SIEM")))
 
 
 @query()
 def action_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return sc.action_counts(sc.scan(table(tuned(spark), sf, "documents"), "doc_id", "text", sc.Options(profiles=("FINANCIAL",), destination="FILE", requested_action="HASH")))
+    return sc.action_counts(sc.scan(texts(spark, sf, "documents"), "doc_id", "text", sc.Options(profiles=("FINANCIAL",), destination="FILE", requested_action="HASH")))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspark import lexicon as lx
 from veilspark.functions import text as fx
 from veilspark.operators import normalize as nz
-from veilspark.plans.registry import query, table
+from veilspark.plans.registry import query, table, texts
 
 #: Patterns that Java and RE2 read alike (ASCII classes, no look-around).
 #: Every repetition is bounded: without that a long run of letters takes quadratic time.
@@ -30,7 +30,7 @@ RECORDS = "(SELECT record_id, any_value(content) AS content FROM content_record
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Every record with content once; replays are the same."""
-    return table(spark, sf, "content_record").where("content is not null").select("record_id", "content")
+    return texts(spark, sf, "content_record").where("content is not null").select("record_id", "content")
 
 
 def _spans_sql(source: str, key: str, text: str, pattern: str) -> str:
@@ -78,12 +78,12 @@ def _breakdown(df: DataFrame, text: str, by: str) -> DataFrame:
 
 @query(_breakdown_sql("documents", "text", "lang").replace("SELECT lang, type", "SELECT lang, type"))
 def entity_breakdown_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    return _breakdown(table(spark, sf, "documents").where("text is not null"), "text", "lang")
+    return _breakdown(texts(spark, sf, "documents").where("text is not null"), "text", "lang")
 
 
 @query(_breakdown_sql("(SELECT upper(trim(source_type)) AS kind, content FROM content_record)", "content", "kind"))
 def entity_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "content_record").where("content is not null").select(F.upper(F.trim("source_type")).alias("kind"), "content")
+    df = texts(spark, sf, "content_record").where("content is not null").select(F.upper(F.trim("source_type")).alias("kind"), "content")
     return _breakdown(df, "content", "kind")
 
 

@@ -36,3 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer files than there are cores over all of them, for work that costs far more
+    than moving a row. Tables of more files, any large one, are left as they lie; nothing is shuffled then.
+    Column pruning and filters still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(2 * cores) if 0 < files < cores else df
