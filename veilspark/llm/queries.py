@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import credentials, leakage, lookalikes, packing, pii, residue, splitting
-from veilspark.session import tuned
+from veilspark.session import spread, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,7 +20,8 @@ def query(f: Callable) -> Callable:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tuned(spark).read.parquet(f"{sf}/{name}.parquet")
+    df = tuned(spark).read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("content_record", "documents") else df
 
 
 @query
