@@ -27,7 +27,8 @@ FULL_TABLE = {**BASE_TABLE, **{ord(k): ord(v) for k, v in LOOKALIKE.items()}}
 _MAPPED = re.compile("[" + re.escape(INVISIBLE) + "]|[̀-ͯ]")
 _ODD = re.compile("[！-～" + re.escape(SPACES) + "]+")
 _ODD_OR_GONE = re.compile("[！-～" + re.escape(SPACES + INVISIBLE) + "]+")
-WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters with the accents that compose with none of them.
+WORD = re.compile(r"(?:[^\W\d_]+[\u0300-\u036f]*)+")
 _FOREIGN = re.compile("[" + "".join(LOOKALIKE) + "]")
 
 
