@@ -83,6 +83,11 @@ _PATH = re.compile(r"\.{0,2}/[a-z][a-z_./-]*|[A-Za-z]:\\.*")
 _PLAIN_WORD = re.compile(r"[a-z]+(?:_[a-z]+)*|[A-Z]?[a-z]{1,12}|[A-Z]+(?:_[A-Z]+)+")
 
 
+def _shuffled(value: str) -> bool:
+    """Whether small and capital letters change as they only do in made-up strings."""
+    return len(value) >= 16 and sum(a.islower() and b.isupper() for a, b in zip(value, value[1:])) >= 3
+
+
 def secret_value(value: str, quoted: bool = False, least: int = 6) -> bool:
     """Whether a value of a sensitive key is a secret in clear or encoded form."""
     if len(value) < least or _PLACEHOLDER.match(value) or _MASKED.search(value):
@@ -91,7 +96,7 @@ def secret_value(value: str, quoted: bool = False, least: int = 6) -> bool:
         return False
     if _PATH.fullmatch(value) or (" " in value and not quoted):
         return False
-    if _REFERENCE.fullmatch(value) and not any(c.isdigit() for c in value):
+    if _REFERENCE.fullmatch(value) and not any(c.isdigit() for c in value) and not _shuffled(value):
         return False
     return sum(c.isalnum() for c in value) >= 4
 
@@ -139,7 +144,7 @@ def _line(s: str, text: str, at: int) -> Iterator[tuple[int, int, str]]:
         if not _MASKED.search(m[0]):
             yield m.start(), m.end(), "TOKEN"
     for m in BEARER.finditer(s):
-        if secret_value(m["v"], least=12) and any(c.isdigit() for c in m["v"]):
+        if secret_value(m["v"], least=12) and (any(c.isdigit() for c in m["v"]) or _shuffled(m["v"])):
             yield m.start("v"), m.end("v"), "TOKEN"
     for m in BASIC.finditer(s):
         if _basic(m["v"]):
@@ -192,7 +197,7 @@ def _line(s: str, text: str, at: int) -> Iterator[tuple[int, int, str]]:
             yield m.start(g), m.start(g) + len(value), "PASSWORD" if g == "v" else "TOKEN"
     for m in KEYED.finditer(s):
         value = m["v"].rstrip(_TAIL)
-        if secret_value(value, least=16) and any(c.isdigit() for c in value) and (m["use"] or (any(c.isupper() for c in value) and any(c.islower() for c in value))):
+        if secret_value(value, least=16) and (_shuffled(value) or (any(c.isdigit() for c in value) and (m["use"] or (any(c.isupper() for c in value) and any(c.islower() for c in value))))):
             yield m.start("v"), m.start("v") + len(value), "API_KEY"
     if m := _DEFAULT.match(s):
         opened = text.rfind('variable "', max(0, at - 2000), at)
