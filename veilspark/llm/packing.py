@@ -221,8 +221,8 @@ def pack(counted: DataFrame, spec: DataFrame) -> DataFrame:
     if sum(c for _, c in classes) > MAX_CAPACITY:
         raise ValueError(f"the capacities exceed {MAX_CAPACITY} together")
     counted = cut(counted)
-    table = spark.createDataFrame(classes, "container_class string, capacity int")
-    every = counted.crossJoin(F.broadcast(table)) if classes else counted.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("container_class"), F.lit(1).alias("capacity")).where("false")
+    table = F.array(*[F.struct(F.lit(name).cast("string").alias("container_class"), F.lit(capacity).alias("capacity")) for name, capacity in classes]) if classes else F.array().cast("array<struct<container_class:string,capacity:int>>")
+    every = counted.select("doc_id", "n_tokens", F.inline(table))
     every = every.withColumn("full", F.when(F.col("n_tokens") > F.col("capacity"), F.expr("n_tokens div capacity")).otherwise(F.lit(0)))
     every = every.withColumn("rest", (F.col("n_tokens") - F.col("full") * F.col("capacity")).cast("int"))
 
