@@ -51,3 +51,19 @@ def flatten_payloads(spark: SparkSession, sf: str) -> DataFrame:
     df = table(tuned(spark), sf, "sample_pii").dropDuplicates(["sample_id"])
     df = df.select("sample_id", F.to_json(F.struct("request_id", F.col("user_info").alias("user"), "payment", "config", "audit")).alias("payload"), F.lit("json").alias("extension"))
     return parse.flattened(df, "sample_id", "payload", "extension").select(F.col("key").cast("bigint").alias("sample_id"), F.explode("fields").alias("f")).select("sample_id", "f.*")
+
+
+@query()
+def chunk_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows in which each record would be scanned under the widest shipped span."""
+    import pyarrow as pa
+
+    from veilspark.operators.chunks import chunks
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, n, a, b, o) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for n, (a, b, o) in enumerate(chunks(t, 8192))]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["record_id", "chunk_no", "start_pos", "end_pos", "overlap"])
+
+    return _records(spark, sf).mapInArrow(run, "record_id bigint, chunk_no int, start_pos int, end_pos int, overlap int").distinct()

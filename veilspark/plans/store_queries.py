@@ -328,3 +328,38 @@ def newest_by_label(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "content_record").where("not coalesce(is_sanitized, false) and source_identifier is not null")
     best = F.max_by(F.struct("handle", "source_identifier", "created_at"), F.struct("created_at", "record_id"))
     return df.groupBy(F.lower("source_identifier").alias("label"), "workspace_id").agg(best.alias("r")).select("r.*")
+
+
+@query("""
+SELECT live, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT user_id, max(ts) > (SELECT max(ts) FROM events) - INTERVAL 12 HOUR AND NOT bool_or(event_type = 'logout' AND ts > (SELECT max(ts) FROM events) - INTERVAL 12 HOUR) AS live FROM events GROUP BY user_id) s GROUP BY live""")
+def live_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Users with a usable session: touched in the last twelve hours of the table and not revoked since."""
+    events = table(spark, sf, "events").select("user_id", "ts", "event_type")
+    since = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz") - F.expr("INTERVAL 12 HOURS")
+    per = events.groupBy("user_id").agg(F.bool_or(F.col("ts") > since).alias("touched"), F.bool_or((F.col("ts") > since) & (F.col("event_type") == "logout")).alias("revoked"))
+    return per.groupBy((F.col("touched") & ~F.col("revoked")).alias("live")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT scan_id, CASE WHEN dry_run THEN 'reported' WHEN destination IS NULL THEN 'needs destination' ELSE 'finished' END AS status, coalesce(requested_action, 'profile') AS asked
+FROM (SELECT scan_id, any_value(dry_run) AS dry_run, any_value(destination) AS destination, any_value(requested_action) AS requested_action FROM scan_options GROUP BY scan_id) s""")
+def scan_status(spark: SparkSession, sf: str) -> DataFrame:
+    """A guarded update: every scan gets its status from what it was asked."""
+    df = table(spark, sf, "scan_options").select("scan_id", "dry_run", "destination", "requested_action").distinct()
+    status = F.when(F.col("dry_run"), "reported").when(F.col("destination").isNull(), "needs destination").otherwise("finished")
+    return df.select("scan_id", status.alias("status"), F.coalesce("requested_action", F.lit("profile")).alias("asked"))
+
+
+_CLASSES = (("FILE", "content", "per workspace"), ("TEXT", "content", "per workspace"), ("APPLICATION_LOG", "telemetry", "fixed"), ("AWS_CLOUDWATCH", "telemetry", "fixed"))
+_CLASSES_SQL = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _CLASSES)
+
+
+@query(f"""
+SELECT c.kind, coalesce(k.class, 'unclassified') AS class, coalesce(k.retention, 'none') AS retention, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT DISTINCT record_id, upper(trim(source_type)) AS kind FROM content_record) c LEFT JOIN (VALUES {_CLASSES_SQL}) k(kind, class, retention) USING (kind) GROUP BY ALL""")
+def classification(spark: SparkSession, sf: str) -> DataFrame:
+    """Records by the class of their type; what no class covers is shown as such."""
+    classes = spark.createDataFrame(_CLASSES, "kind string, class string, retention string")
+    per = table(spark, sf, "content_record").select("record_id", F.upper(F.trim("source_type")).alias("kind")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return per.join(F.broadcast(classes), "kind", "left").select("kind", F.coalesce("class", F.lit("unclassified")).alias("class"), F.coalesce("retention", F.lit("none")).alias("retention"), "n")
