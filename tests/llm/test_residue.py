@@ -69,3 +69,17 @@ def test_table(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, h string")
     assert sorted(r.doc_id for r in rs.found(docs).collect()) == [100, 103, 105]
     assert rs.found(docs.where("false")).count() == 0
+
+
+def test_copies_of_one_page_are_not_learned_as_prose(spark):
+    pages = ["404 Not Found. The page you are looking for could not be found.", "Our register is closed. Kindly come back tomorrow; the help desk can see to it. Request id {n}."]
+    for page in pages:
+        rows = [(i, ruling(i, 2)) for i in range(300)] + [(1000 + i, page.replace("{n}", str(50_000 + 7 * i))) for i in range(300)]
+        got = {r.doc_id for r in rs.found(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert got == {i for i, _ in rows if i >= 1000}, (page, len(got))
+
+
+def test_prose_is_counted_over_all_distinct_texts(spark):
+    texts = [ruling(i, 2) for i in range(2500)] + [ruling(1, 2)] * 50 + [YES[3], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert (rs.fitted(docs.repartition(7)).ratio == rs.Models(texts[:2500] + [YES[3]]).ratio).all()

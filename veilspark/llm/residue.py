@@ -1,9 +1,10 @@
 """Template residue, filler and error pages in a corpus, by character n-gram models.
 
 Models of order :data:`ORDER` over 32 character classes are fitted for filler (dummy Latin, and phrases),
-for error and script notices (from the seed texts below) and for natural prose (from a bounded sample of the corpus, about
-:data:`SAMPLE_DOCS` documents of at most :data:`SAMPLE_CHARS` characters together, taken by the hash of
-the id; segments that read like residue under a first fit are left out of the second). A document is cut
+for error and script notices (from the seed texts below) and for natural prose (from all distinct texts
+of the corpus, each counted once however many rows carry it, with whatever digits). Prose is fitted twice, so that pages which
+fill a corpus are not learned as its prose: the first fit leaves out the windows that read like residue
+against the seed prose alone, the second those that do against the first. A document is cut
 at lines and sentences, and every such window gets the likelihood ratio of the better residue model
 against prose, by one table look-up a character. Where residue windows cover at least
 :data:`COVERAGE` of the running text (captions have none), filler or a notice stands for the ruling.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
-SAMPLE_DOCS = 2_000
-SAMPLE_CHARS = 8_000_000
+#: Fits of the prose model; each leaves out what is residue under the one before.
+FITS = 2
+#: Grams that a task collects before it adds them to its counters.
+PENDING = 1 << 20
 #: Least mean log ratio a character for a window to be residue.
 RATIO = 0.25
 COVERAGE = 0.5
@@ -50,7 +54,7 @@ Die angeforderte Seite wurde nicht gefunden. Das Dokument konnte nicht geladen w
 La page demandée n'existe plus ou a été déplacée. Service momentanément indisponible, veuillez réessayer. Veuillez activer JavaScript pour afficher la page. Votre navigateur bloque les scripts nécessaires à cette page. Accès refusé. Votre session a expiré.
 La página solicitada no existe o se ha movido. El servicio no está disponible en este momento. Este sitio requiere que JavaScript esté activado. Active JavaScript para ver el documento. Acceso denegado. Su sesión ha caducado.
 Home | Search | Contact. Home | Decisions | Search | Contact. Back to results. Skip to main content. Login / Register. Cookie settings. Terms of use. All rights reserved. Startseite > Suche. Privacy policy. Menu."""
-#: Natural prose for corpora too small to sample.
+#: Natural prose to begin with; it holds nothing of the corpus.
 PROSE = """The court has heard the parties and considered the evidence before it, and finds that the claim was brought in time. The contract was signed by both sides and the price was paid in full. The appeal is therefore dismissed, and the costs are to be borne by the appellant. Nothing in the record suggests that the notice did not reach the addressee.
 Das Gericht hat die Parteien angehört und die Beweise gewürdigt. Die Klage wird abgewiesen, die Kosten trägt die Klägerin. Le tribunal a entendu les parties et examiné les pièces du dossier. Le pourvoi est rejeté et les dépens sont mis à la charge de la requérante. El tribunal ha oído a las partes y examinado las pruebas. Se desestima el recurso y se imponen las costas a la parte recurrente."""
 FIELDS = """claimant respondent appellant party name party_name PARTY_A docket_no docket number case_no registry_no judge presiding_judge court.name date_of_hearing hearing_date amount_in_words citation headnote reasons operative_part counsel_2 Aktenzeichen AKTENZEICHEN Klägerin Beklagter nom_du_juge numero fecha juez title first_name last_name address date name value text 0 1 2"""
@@ -62,10 +66,15 @@ PLACEHOLDER = re.compile(
     rf"|\[\[\s?(?P<n>{_ID})\s?\]\]|\[(?:INSERT|Insert|ENTER|Enter|ADD|FILL IN|TO BE COMPLETED:?) (?P<o>{_ID})\]|\[(?P<p>{_ID}) (?:EINFÜGEN|einfügen|EINSETZEN|einsetzen)\]|\[(?:à compléter|À COMPLÉTER|por completar|A COMPLETAR|a completar) ?:? ?(?P<q>{_ID})\]|\((?:enter|insert|ENTER|INSERT) (?P<r>{_ID}) here\)",
     re.IGNORECASE,
 )
+# Each search begins with one set of characters: the engine skips to these instead of trying every position.
 #: What a placeholder must begin with, or hold; most texts have none and are not searched further.
-_ANY_MARK = re.compile(r"[{«$@]|%[(A-Za-z]|<[<%A-Za-z]|__|\[\[|\[(?:insert|enter|add|fill|to be|à|por|a )|einfügen|einsetzen|\((?:enter|insert) ", re.IGNORECASE)
-_QUOTED = re.compile(r"“[^”]{0,600}”|„[^“”]{0,600}[“”]|\"[^\"\n]{1,300}\"|‘[^’\n]{2,300}’(?!\w)|(?<!\w)»[^«»\n]{2,300}«(?!\w)")
-_CUT = re.compile(r"\n+|(?<=[.!?;:])\s+")
+_ANY_MARK = re.compile(r"[{«$@%<_\[(](?:(?<=[{«$@])|(?<=%)[(A-Za-z]|(?<=<)[<%A-Za-z]|(?<=_)_|(?<=\[)(?:\[|(?i:insert|enter|add|fill|to be|à|por|a ))|(?<=\()(?i:enter|insert) )")
+_GERMAN_MARK = re.compile(r"[eE](?i:infügen|insetzen)")
+_QUOTED = re.compile(r"[“„\"‘»](?:(?<=“)[^”]{0,600}”|(?<=„)[^“”]{0,600}[“”]|(?<=\")[^\"\n]{1,300}\"|(?<=‘)[^’\n]{2,300}’(?!\w)|(?<=»)(?<!\w»)[^«»\n]{2,300}«(?!\w))")
+#: A boundary with the mark before it, which stays with its sentence.
+_CUT = re.compile(r"[\n.!?;:](?:(?<=\n)\n*|(?<=[.!?;:])(?:\n+|\s+))")
+
+_DIGIT = re.compile("[1-9]")
 
 # 32 classes: letters 1-26, blank 0, digit 27, end of sentence 28, bar and dash 29, other marks 30, other letters 31
 _CLASS = np.full(256, 30, dtype=np.uint32)
@@ -96,19 +105,31 @@ def _grams(raw: bytes, order: int) -> np.ndarray:
     return out
 
 
-def fit(texts: Iterable[str], order: int = ORDER, prior: float = 0.5) -> np.ndarray:
-    """Log probability of every last character given those before it, smoothed by the shorter contexts."""
+def counts_of(texts: Iterable[str]) -> np.ndarray:
+    """How often every gram stands in the texts."""
     raw = b"   " + b"   ".join(t.encode("utf-8", "replace") for t in texts)
+    return np.bincount(_grams(raw, ORDER), minlength=32**ORDER)
+
+
+def model(counts: np.ndarray, prior: float = 0.5) -> np.ndarray:
+    """Log probability of every last character given those before it, smoothed by the shorter contexts."""
+    orders = [counts.astype(np.float64)]
+    while orders[0].size > 32:
+        orders.insert(0, orders[0].reshape(32, -1).sum(axis=0))
     below = np.full(32, 1 / 32)
-    for k in range(1, order + 1):
-        counts = np.bincount(_grams(raw, k), minlength=32**k).astype(np.float64).reshape(-1, 32)
-        total = counts.sum(axis=1, keepdims=True)
+    for k, order in enumerate(orders, 1):
+        seen = order.reshape(-1, 32)
+        total = seen.sum(axis=1, keepdims=True)
         base = np.tile(below.reshape(-1, 32), (32**k // below.size, 1)) if k > 1 else below.reshape(1, 32)
-        weight = prior * np.maximum(1, (counts > 0).sum(axis=1, keepdims=True))
-        below = ((counts + weight * base) / (total + weight)).reshape(-1)
+        weight = prior * np.maximum(1, (seen > 0).sum(axis=1, keepdims=True))
+        below = ((seen + weight * base) / (total + weight)).reshape(-1)
     return np.log(below).astype(np.float32)
 
 
+def fit(texts: Iterable[str]) -> np.ndarray:
+    return model(counts_of(texts))
+
+
 def _lorem_seed() -> list[str]:
     words, out = LOREM.split(), [LOREM]
     # other orders of the same words, so that the model learns words rather than one passage
@@ -119,55 +140,93 @@ def _lorem_seed() -> list[str]:
     return out
 
 
+def _segments(text: str) -> tuple[list[tuple[int, int]], bytes, np.ndarray, np.ndarray]:
+    """Segments of a text, their padded bytes in one string, and where each begins and ends there."""
+    cuts, at = [], 0
+    for m in _CUT.finditer(text):
+        start = m.start()
+        if text[start] != "\n":
+            start += 1
+        if start > at:
+            cuts.append((at, start))
+        at = m.end()
+    if at < len(text):
+        cuts.append((at, len(text)))
+    parts = [f"   {text[a:b]} ".encode("utf-8", "replace") for a, b in cuts]
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    return cuts, b"".join(parts), ends - lengths, ends
+
+
+@lru_cache(1)
+def _residue() -> tuple[np.ndarray, ...]:
+    """The models of filler and notices, and that of field names."""
+    return fit(_lorem_seed()), fit([FILLER] * 3), fit([NOTICES] * 3), fit([FIELDS] * 3)
+
+
 class Models:
-    """The fitted ratios."""
-
-    def __init__(self, sample: Iterable[str]) -> None:
-        residue = fit(_lorem_seed()), fit([FILLER] * 3), fit([NOTICES] * 3)
-        texts = [_QUOTED.sub(" ", t) for t in sample if t]
-        first = fit([PROSE, *texts])
-        self.ratio = np.stack([r - first for r in residue], axis=1)
-        clean = []
-        for t in texts:
-            segments, ratios, _ = self.windows(t)
-            clean += [t[a:b] for (a, b), r in zip(segments, ratios) if r < RATIO]
-        prose = fit([PROSE, *clean])
+    """The fitted ratios. ``texts`` are for tests and small corpora; :func:`fitted` learns from a table."""
+
+    def __init__(self, texts: Iterable[str] = ()) -> None:
+        self.learn(np.zeros(32**ORDER, dtype=np.int64))
+        distinct = list(dict.fromkeys(_DIGIT.sub("0", t) for t in texts if t))
+        for _ in range(FITS if distinct else 0):
+            self.learn(self.prose_counts(distinct))
+
+    def learn(self, counts: np.ndarray) -> None:
+        """Take the seed prose with these counts as the model of prose."""
+        prose = model(counts_of([PROSE]) + counts)
+        *residue, names = _residue()
         # one look-up gives all ratios
         self.ratio = np.stack([r - prose for r in residue], axis=1)
-        self.named = fit([FIELDS] * 3) - prose
+        self.named = names - prose
+
+    def prose_counts(self, texts: Iterable[str]) -> np.ndarray:
+        """The gram counts of all windows that do not read like residue under the present model."""
+        total = np.zeros(32**ORDER, dtype=np.int64)
+        pending, held = [], 0
+        for text in texts:
+            cuts, raw, starts, ends = _segments(_QUOTED.sub(" ", text))
+            if not cuts:
+                continue
+            ratios, grams = self._scores(raw, starts, ends)
+            keep = np.repeat(ratios < RATIO, ends - starts)
+            for k in range(3):
+                keep[starts + k] = False
+            pending.append(grams[keep[ORDER - 1 :]])
+            held += len(pending[-1])
+            if held >= PENDING:
+                total += np.bincount(np.concatenate(pending), minlength=total.size)
+                pending, held = [], 0
+        if pending:
+            total += np.bincount(np.concatenate(pending), minlength=total.size)
+        return total
 
     def windows(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
         """Segments of a text, the better mean ratio of each, and its number of small-letter words."""
-        cuts, at = [], 0
-        for m in _CUT.finditer(text):
-            if m.start() > at:
-                cuts.append((at, m.start()))
-            at = m.end()
-        if at < len(text):
-            cuts.append((at, len(text)))
+        cuts, raw, starts, ends = _segments(text)
         if not cuts:
             return [], np.zeros(0), np.zeros(0)
-        pad = b"   "
-        parts = [pad + text[a:b].encode("utf-8", "replace") + b" " for a, b in cuts]
-        raw = b"".join(parts)
-        ends = np.cumsum([len(p) for p in parts])
-        starts = ends - np.array([len(p) for p in parts])
+        ratios, _ = self._scores(raw, starts, ends)
+        b = np.frombuffer(raw, dtype=np.uint8)
+        begins = np.zeros(len(b), dtype=np.int32)
+        begins[1:] = _LOWER[b[1:]] & (_CLASS[b[:-1]] == 0)
+        return cuts, ratios, np.add.reduceat(begins, starts)
+
+    def _scores(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The better mean ratio of each segment, and the grams of ``raw``."""
         grams = _grams(raw, ORDER)
         values = np.zeros((len(raw), self.ratio.shape[1]), dtype=np.float32)
-        values[ORDER - 1 :] = self.ratio[grams]
+        np.take(self.ratio, grams, axis=0, out=values[ORDER - 1 :], mode="clip")
         # the gram that reaches back over a segment's beginning belongs to no segment: pads hide it
         for k in range(3):
             values[starts + k] = 0
         sums = np.add.reduceat(values, starts, axis=0)
-        lengths = (ends - starts - 3).astype(np.float32)
-        b = np.frombuffer(raw, dtype=np.uint8)
-        begins = np.zeros(len(b), dtype=np.int32)
-        begins[1:] = _LOWER[b[1:]] & (_CLASS[b[:-1]] == 0)
-        return cuts, (sums / lengths[:, None]).max(axis=1), np.add.reduceat(begins, starts)
+        return (sums / (ends - starts - 3).astype(np.float32)[:, None]).max(axis=1), grams
 
     def placeholder(self, text: str) -> bool:
         """Whether an unfilled placeholder stands outside quotation marks (already masked)."""
-        if not _ANY_MARK.search(text):
+        if not _ANY_MARK.search(text) and not _GERMAN_MARK.search(text):
             return False
         for m in PLACEHOLDER.finditer(text):
             name = m[m.lastgroup]
@@ -202,27 +261,33 @@ class Models:
         return chars >= LEAST and share >= COVERAGE
 
 
-def sample_of(documents: DataFrame) -> list[str]:
-    """The bounded sample: documents whose id's hash falls under the share that SAMPLE_DOCS is of all.
+def fitted(documents: DataFrame) -> Models:
+    """The models with the prose of all distinct texts.
 
-    No sort and no shuffle: what is sent to the driver is the sample, whatever the number of partitions.
+    Every task sums the counters of its texts; what is shuffled and sent to the driver are sums by gram,
+    at most 32 ** ORDER rows, whatever the size of the corpus.
     """
-    n = documents.where("text is not null").count()
-    grain = 1 << 30
-    share = min(grain, int(grain * 1.1 * SAMPLE_DOCS / n) + 1) if n else grain
-    rows = documents.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share).select("doc_id", "text")
-    out, left = [], SAMPLE_CHARS
-    for r in rows.limit(2 * SAMPLE_DOCS).toLocalIterator():
-        if left <= 0:
-            break
-        out.append(r.text)
-        left -= len(r.text)
-    return out
+    # a digit is a digit to the models: pages that differ in a number only are one text
+    texts = documents.where("text <> ''").select(F.regexp_replace("text", "[1-9]", "0").alias("text")).distinct()
+    models = Models()
+    for _ in range(FITS):
+        current = documents.sparkSession.sparkContext.broadcast(models)
+
+        def run(batches: Iterable[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
+            counts = current.value.prose_counts(t for batch in batches for t in batch.column(0).to_pylist())
+            (grams,) = counts.nonzero()
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int32()), pa.array(counts[grams], pa.int64())], names=["gram", "n"])
+
+        sums = texts.mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(32**ORDER, dtype=np.int64)
+        counts[sums.column("gram").to_numpy()] = sums.column("n").to_numpy()
+        models.learn(counts)
+    return models
 
 
 def found(documents: DataFrame) -> DataFrame:
     """``doc_id`` of every document to exclude."""
-    models = documents.sparkSession.sparkContext.broadcast(Models(sample_of(documents)))
+    models = documents.sparkSession.sparkContext.broadcast(fitted(documents))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = models.value
