@@ -87,3 +87,14 @@ def test_sizes(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "a " * 50_000), (1, "hello world"), (5, "x" * 20_000)], "doc_id bigint, text string")
     got = {r.doc_id: r.n_tokens for r in pk.sizes(docs).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 50_000 and 0 < got[5] <= 20_000 and len(got) == 5
+
+
+def test_too_many_classes_are_refused(spark, monkeypatch):
+    import veilspark.llm.packing as packing
+
+    monkeypatch.setattr(packing, "MAX_CLASSES", 2, raising=False)
+    counted = spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens int")
+    spec = spark.createDataFrame([("a", 8), ("b", 9), ("c", 10)], "container_class string, capacity_tokens int")
+    with pytest.raises(ValueError, match="container classes"):
+        packing.pack(counted, spec)
+    assert packing.pack(counted, spec.where("capacity_tokens < 10")).count() == 2

@@ -44,6 +44,8 @@ STEPS = 400
 POWERS = (0.5, 2.0, 6.0)
 #: Capacities are configuration; together they bound the histogram that the driver sees.
 MAX_CAPACITY = 4_000_000
+#: Container classes at most.
+MAX_CLASSES = 10_000
 
 
 @lru_cache(4)
@@ -217,7 +219,9 @@ def pack(counted: DataFrame, spec: DataFrame) -> DataFrame:
     of oversized texts have containers of their own, called d<document>.<piece>.
     """
     spark = counted.sparkSession
-    classes = [(r.container_class, r.capacity_tokens) for r in spec.select("container_class", "capacity_tokens").where("capacity_tokens >= 1").distinct().limit(10_001).collect()]
+    classes = [(r.container_class, r.capacity_tokens) for r in spec.select("container_class", "capacity_tokens").where("capacity_tokens >= 1").distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} container classes")
     if sum(c for _, c in classes) > MAX_CAPACITY:
         raise ValueError(f"the capacities exceed {MAX_CAPACITY} together")
     counted = cut(counted)
