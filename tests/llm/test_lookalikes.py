@@ -81,3 +81,10 @@ def test_empty(spark):
     content = spark.createDataFrame([], "record_id bigint, workspace_id string, source_identifier string, content string")
     fields = spark.createDataFrame([], "field_id bigint, record_id bigint, value string")
     assert lk.look_alike_pairs(content, fields).count() == 0
+
+
+def test_vocabulary_does_not_depend_on_the_switch(spark, monkeypatch):
+    df = spark.createDataFrame([("two cm²",), ("two сm",), ("plain cable x½",), ("thе cаblе",), (None,), ("",)], "text string")
+    below = {r[0] for r in lk.vocabulary(df).collect()}
+    monkeypatch.setattr(lk, "MAX_BROADCAST", 0)
+    assert {r[0] for r in lk.vocabulary(df).collect()} == below == {"cable"}

@@ -100,12 +100,11 @@ def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.string()), pa.array([b for _, b in new], pa.string())], names=["repair", "spelling"])
 
 
-def _plain_udf(value: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else fd.plain(t) for t in texts], dtype=object)
-
-    return F.when(value.rlike(NON_ASCII), run(value)).otherwise(value)
+def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each batch."""
+    for batch in batches:
+        got = {word for text in batch.column(0).to_pylist() if text for word in fd.WORD.findall(fd.plain(text))}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.string())], names=["repair"])
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
         seen = texts.where(F.col(column).isNotNull()).mapInArrow(look, "repair string")
     else:
-        seen = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(_plain_udf(F.col(column)), F.lit(r"([\p{L}\p{M}]+)"), 1))).alias("repair")).join(single, "repair", "left_semi")
+        seen = texts.where(F.col(column).isNotNull()).mapInArrow(_tokens, "repair string").join(single, "repair", "left_semi")
     return many.unionByName(seen).distinct()
 
 
