@@ -78,3 +78,13 @@ def test_tables(spark):
     assert got == [("api_key", 1, 1), ("content", 1, 2), ("content", 4, 2), ("database_url", 1, 1)]
     assert cr.found(content.where("false"), payloads.where("false")).count() == 0
     assert cr.redacted(content, "content").where("record_id = 2").first().redacted is None
+
+
+@pytest.mark.parametrize("key", sorted({*cr.LAST, *(f"{a}Key" for a, _ in cr.PAIRS), *(f"{a}_{b}" for a, b in cr.PAIRS)}))
+def test_every_sensitive_key_leads_to_its_line(key):
+    assert [t[0] for t in cr.spans(f'x\n"{key}": "aB3dE5gH7jK9mN1p"\ny')] == [len(key) + 7]
+
+
+def test_shapes_without_an_old_anchor():
+    for line in ("see gha_0123456789abcdefABCD", "rk-live_0123456789abcdefABCD", "http POST host -u joe:aB3dE5gH", "psk = \"aB3dE5gH7jK9mN1p\""):
+        assert cr.spans(line), line

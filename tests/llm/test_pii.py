@@ -65,3 +65,9 @@ def test_tables(spark):
     assert got == [("content", 1, "EMAIL", 10), ("content", 1, "PERSON", 0), ("content", 4, "EMAIL", 200_000), ("field", 1, "PERSON", 0), ("field", 2, "PERSON", 0), ("field", 3, "PERSON", 0), ("field", 6, "PERSON", 3)]
     assert pii.found(content.where("false"), fields.where("false"), pii.known_names(lexicon.where("false"), fields.where("false"))).count() == 0
     assert pii.scrubbed(content, "content", names).where("record_id = 2").first().scrubbed is None
+
+
+@pytest.mark.parametrize("at", ["(ät)", "[arroba]", "{ arroba }", "< at >", "[@]", "(@)", "{@}", "[ Ät ]"])
+def test_every_evasive_at_leads_to_its_address(at):
+    text = f"write to jo-x {at} mail.test."
+    assert [(text[a:b], kind) for a, b, kind in F.spans(text)] == [(text[9:-1], "EMAIL")]

@@ -25,6 +25,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from string import ascii_lowercase
 
 import ahocorasick
 import pandas as pd
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.folding import fold
 
-#: What a line must hold, in lower case, to be parsed at all.
+LAST = {"password", "passwd", "pwd", "passphrase", "passcode", "pass", "pw", "secret", "token", "tok", "jwt", "bearer", "credential", "credentials", "apikey", "secretkey", "accesskey", "privatekey", "psk", "authtoken", "apitoken"}
+PAIRS = {("api", "key"), ("access", "key"), ("secret", "key"), ("private", "key"), ("signing", "key"), ("encryption", "key"), ("auth", "key"), ("master", "key"), ("account", "key"), ("shared", "key"), ("license", "key")}
+#: What a line must hold, in lower case, to be parsed at all: the last word of every sensitive key, and what each pattern below cannot do without.
 ANCHORS = (
-    "pass", "pwd", "secret", "token", "tok ", "tok=", "tok:", "apikey", "accesskey", "privatekey", "credential", "bearer", "basic ", "jwt", "://", "eyj", "akia", "asia", "-----begin",
-    *(f"{a}{b}key" for a in ("api", "access", "private", "signing", "auth", "encryption", "master", "account", "shared", "license") for b in "_-. "),
-    "_pw", "pw =", "pw=", "pw:", "pw is", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "ghx_", "xkey-", "lmn_", "sk-", "sk_", "pk-", "pk_", "rk_", "xox", "aiza", "curl ", "wget ", "http -", "http --", "mysql", "login ", "default", "value", " key ", "key id",
+    *sorted({*LAST, *(pair[-1] for pair in PAIRS)}), "basic", "://", "eyj", "akia", "asia", "-----begin", *(f"gh{c}_" for c in ascii_lowercase),
+    "lmn_", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "xox", "aiza", "curl", "wget", "http", "mysql", "login", "default", "value",
 )
 
 
@@ -51,8 +53,6 @@ def _anchors() -> ahocorasick.Automaton:
     return automaton
 
 
-LAST = {"password", "passwd", "pwd", "passphrase", "passcode", "pass", "pw", "secret", "token", "tok", "jwt", "bearer", "credential", "credentials", "apikey", "secretkey", "accesskey", "privatekey", "psk", "authtoken", "apitoken"}
-PAIRS = {("api", "key"), ("access", "key"), ("secret", "key"), ("private", "key"), ("signing", "key"), ("encryption", "key"), ("auth", "key"), ("master", "key"), ("account", "key"), ("shared", "key"), ("license", "key")}
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 

@@ -108,7 +108,8 @@ class Finder:
         words |= {w: "G" for w in ("straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "ufer ", "damm ", "ring ", "steig ", "graben ", "markt ")}
         words |= {w: "F" for w in (" rue ", " avenue ", " boulevard ", " place ", " chemin ", " impasse ", " allée ", " quai ", " cours ")}
         words |= {w: "E" for w in ("calle ", "avenida ", "avda. ", "plaza ", "paseo ", "c/ ")}
-        words |= {w: "@" for w in ("@", "(at", "[at", "{at", "( at", "[ at", "<at")}
+        # all beginnings of _EVASIVE_AT, and the sign itself
+        words |= {"@": "@", **{f"{b}@": "@" for b in "[({"}, **{f"{b}{gap}{at}": "@" for b in "[({<" for gap in ("", " ", "\t", "\n") for at in ("at", "ät", "arroba")}}
         words |= {w: "C" for w in CUES}
         words |= {g: "N" for g in self.given}
         self.automaton = ahocorasick.Automaton()
