@@ -71,3 +71,10 @@ def test_tables(spark):
 def test_every_evasive_at_leads_to_its_address(at):
     text = f"write to jo-x {at} mail.test."
     assert [(text[a:b], kind) for a, b, kind in F.spans(text)] == [(text[9:-1], "EMAIL")]
+
+
+def test_property_names_are_inspected(spark):
+    rows = [(1, "jo@mail.test", "jo@mail.test", True), (2, "staff.Anna Lund", "Anna Lund", True), (3, "u.address", "12 other words 3", True)]
+    fields = spark.createDataFrame(rows, "field_id bigint, path string, value string, is_key boolean")
+    content = spark.createDataFrame([], "record_id bigint, content string")
+    assert sorted(tuple(r) for r in pii.found(content, fields, (("Anna",), ())).collect()) == [("field", 1, "EMAIL", 0), ("field", 2, "PERSON", 0)]

@@ -24,7 +24,7 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.folding import fold
@@ -392,8 +392,13 @@ def _found(names: tuple) -> object:
     return run
 
 
+def value_path() -> Column:
+    """The path of a field's value; a property name is inspected too, but its path tells nothing about it."""
+    return F.when(F.coalesce(F.col("is_key"), F.lit(False)), F.lit("")).otherwise(F.col("path")).alias("path")
+
+
 def found(content: DataFrame, fields: DataFrame, names: tuple) -> DataFrame:
-    """Every case of ``content`` and of the values of ``fields``; replayed rows count once."""
+    """Every case of ``content`` and of the values and property names of ``fields``; replayed rows count once."""
 
     def cases(df: DataFrame, src: str) -> DataFrame:
         df = df.where((F.col("text") != "") & F.col("text").isNotNull())
@@ -401,7 +406,7 @@ def found(content: DataFrame, fields: DataFrame, names: tuple) -> DataFrame:
         return out.distinct().select(F.lit(src).alias("src"), "row_key", "pii_type", "start_pos")
 
     of_content = content.select(F.col("record_id").alias("row_key"), F.col("content").alias("text"), F.lit("").alias("path"))
-    of_fields = fields.where("not coalesce(is_key, false)").select(F.col("field_id").alias("row_key"), F.col("value").alias("text"), "path")
+    of_fields = fields.select(F.col("field_id").alias("row_key"), F.col("value").alias("text"), value_path())
     return cases(of_content, "content").unionByName(cases(of_fields, "field"))
 
 

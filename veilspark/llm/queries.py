@@ -65,7 +65,7 @@ def p2_scrubbed(spark: SparkSession, sf: str) -> DataFrame:
     content, fields = table(spark, sf, "content_record"), table(spark, sf, "extracted_field")
     names = pii.known_names(table(spark, sf, "name_lexicon"), fields)
     texts = content.select(F.lit("content").alias("src"), F.col("record_id").alias("row_key"), F.col("content").alias("text"), F.lit("").alias("path")).unionByName(
-        fields.where("not coalesce(is_key, false)").select(F.lit("field"), "field_id", "value", "path").toDF("src", "row_key", "text", "path")
+        fields.select(F.lit("field"), "field_id", "value", pii.value_path()).toDF("src", "row_key", "text", "path")
     )
     return pii.scrubbed(texts, "text", names, "path").where("scrubbed <> text").dropDuplicates(["src", "row_key"]).select("src", "row_key", "scrubbed")
 
