@@ -26,6 +26,7 @@ def test_checksums_agree_with_python(spark):
     rng = random.Random(2)
     cards = ["".join(rng.choice("0123456789") for _ in range(rng.choice((12, 13, 16, 19, 20)))) for _ in range(60)] + ["4111111111111111"]
     ibans = ["GB82WEST12345698765432", "GB82WEST12345698765433", "DE89 3704 0044 0532 0130 00", "x"]
+    cards += ["0" * 16, "1" * 13]
     df = spark.createDataFrame([(c,) for c in cards], "c string").select("c", fx.luhn_ok(F.col("c")).alias("ok"))
     assert all(r.ok == detect.luhn_ok(r.c) for r in df.collect())
     assert [r[0] for r in spark.createDataFrame([(i,) for i in ibans], "i string").select(fx.iban_ok(F.col("i"))).collect()] == [detect.iban_ok(i) for i in ibans]
@@ -80,16 +81,23 @@ def test_nearest(spark, monkeypatch, block):
 
 def test_vault_tables(spark):
     values = spark.createDataFrame([("a", "IBAN_CODE"), ("a", "US_BANK_NUMBER"), ("b", "IBAN_CODE"), ("1", "CVV"), (None, "IBAN_CODE")], "value string, type string")
-    made = vault.surrogates(values)
-    first = {r.digest: r.surrogate for r in made.collect()}
-    assert len(first) == 2 and {r.digest: r.surrogate for r in made.collect()} == first
-    more = {r.digest: r.surrogate for r in vault.surrogates(values.unionByName(spark.createDataFrame([("c", "IBAN_CODE")], "value string, type string")), made).collect()}
-    assert first.items() <= more.items() and len(more) == 3
+    first = {r.digest: r.surrogate for r in vault.surrogates(values, b"s" * 16).collect()}
+    assert len(first) == 2 and {r.digest: r.surrogate for r in vault.surrogates(values.repartition(3), b"s" * 16).collect()} == first
+    assert not set(first.values()) & {r.surrogate for r in vault.surrogates(values, b"t" * 16).collect()}
     assert vault.digests(values, b"s" * 16, rounds=2).count() == 2
     allowed = spark.createDataFrame([("P", __import__("hashlib").sha256(b"sa").hexdigest())], "profile string, digest string")
     assert [r.value for r in vault.suppress_allowed(values.where("value is not null").select("value").distinct().withColumn("profile", F.lit("P")), allowed, "s").orderBy("value").collect()] == ["1", "b"]
 
 
+def test_native_normalisation_agrees_with_python(spark):
+    from veilspark.operators import normalize as nz
+
+    texts = ["a b c", "id 1 2 3 4 end", "4 1 7 - 8 2 - 6 3 9 0", "x 1 2 3 y", "a\tb c d", "1 2 3 4\n5 6 7 8", "", "plain", "é 1 2 3 4 é", " 1 2 3 4 5 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nz.collapsed_column(F.col("t")).alias("c"), nz.without_whitespace_column(F.col("t")).alias("w"))
+    assert all(r.c == nz.collapse_spaced(r.t)[0] and r.w == nz.without_whitespace(r.t)[0] for r in df.collect())
+    assert nz.without_whitespace("a b")[1] == [0, 2]
+
+
 def test_stored_chains(spark):
     import hashlib
 

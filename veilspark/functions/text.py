@@ -34,13 +34,14 @@ def digits(text: Column) -> Column:
 
 
 def luhn_ok(text: Column) -> Column:
-    """The card checksum over the digits of a text of 13 to 19 digits."""
+    """The card checksum over the digits of a text of 13 to 19 digits, not all the same."""
     d = digits(text)
     total = F.aggregate(
         F.sequence(F.lit(1), F.length(d)), F.lit(0),
         lambda acc, i: acc + F.when((F.length(d) - i) % 2 == 0, F.substring(d, i, F.lit(1)).cast("int")).otherwise((F.substring(d, i, F.lit(1)).cast("int") * 2) - F.when(F.substring(d, i, F.lit(1)).cast("int") > 4, 9).otherwise(0)),
     )
-    return F.when(F.length(d).between(13, 19), total % 10 == 0).otherwise(F.lit(False))
+    varied = F.replace(d, F.left(d, F.lit(1)), F.lit("")) != ""
+    return F.when(F.length(d).between(13, 19) & varied, total % 10 == 0).otherwise(F.lit(False))
 
 
 def aba_ok(text: Column) -> Column:
@@ -87,8 +88,18 @@ def has_substance(text: Column) -> Column:
 
 
 def register(spark) -> None:
-    """The checksums and the normalisation as SQL functions."""
+    """The checksums and the normalisation as SQL functions, in whole batches."""
+    import pandas as pd
+
     from veilspark.operators import detect, normalize
 
-    for name, f, kind in (("luhn_ok", detect.luhn_ok, "boolean"), ("iban_ok", detect.iban_ok, "boolean"), ("aba_ok", detect.aba_ok, "boolean"), ("normalize_text", lambda s: normalize.normalize(s)[0], "string")):
-        spark.udf.register(name, (lambda g: lambda s: None if s is None else g(s))(f), kind)
+    def vectorised(f, kind: str):
+        @F.pandas_udf(kind)
+        def run(values: pd.Series) -> pd.Series:
+            return pd.Series([None if v is None else f(v) for v in values], dtype=object)
+
+        return run
+
+    for name, f in (("luhn_ok", detect.luhn_ok), ("iban_ok", detect.iban_ok), ("aba_ok", detect.aba_ok)):
+        spark.udf.register(name, vectorised(f, "boolean"))
+    spark.udf.register("normalize_text", vectorised(lambda s: normalize.normalize(s)[0], "string"))

@@ -24,7 +24,9 @@ def _bases() -> dict[str, str]:
 
 FOLDS = _bases() | lx.HOMOGLYPHS
 _TABLE = {ord(k): v for k, v in FOLDS.items()} | dict.fromkeys(map(ord, lx.INVISIBLE))
-_SPACED = re.compile(lx.SPACED_RUN)
+#: Four single characters or more with one blank between each and the next, on their own.
+SPACED_RUN = r"(?<![0-9A-Za-z-])[0-9A-Za-z-](?:[ \t][0-9A-Za-z-]){3,}(?![0-9A-Za-z-])"
+_SPACED = re.compile(SPACED_RUN)
 _GONE = re.compile("[" + re.escape(lx.INVISIBLE) + "]")
 _FOLDED = re.compile("[" + re.escape("".join(FOLDS)) + "]")
 
@@ -61,6 +63,12 @@ def collapse_spaced(text: str) -> tuple[str, list[int] | None]:
     return "".join(text[i] for i in keep), keep
 
 
+def without_whitespace(text: str) -> tuple[str, list[int] | None]:
+    """The text without any whitespace (T5); positions as above, None if there was none."""
+    keep = [i for i, c in enumerate(text) if not c.isspace()]
+    return (text, None) if len(keep) == len(text) else ("".join(text[i] for i in keep), keep)
+
+
 def original_span(positions: list[int] | None, start: int, end: int, length: int) -> tuple[int, int]:
     if positions is None:
         return start, min(end, length)
@@ -84,5 +92,13 @@ def homoglyph_count(text: Column) -> Column:
 
 
 def collapsed_column(text: Column) -> Column:
-    """T4 in the JVM: in two steps, since a replacement cannot loop within a match."""
-    return F.regexp_replace(text, r"(?<=(?<![0-9A-Za-z\-])[0-9A-Za-z\-])[ \t](?=[0-9A-Za-z\-](?![0-9A-Za-z\-]))", "")
+    """T4 in the JVM: the pieces between runs, and the runs without their blanks, in turn."""
+    runs, pieces = F.regexp_extract_all(text, F.lit(SPACED_RUN), F.lit(0)), F.split(text, SPACED_RUN, -1)
+    tight = F.transform(runs, lambda r: F.regexp_replace(r, r"[ \t]", ""))
+    joined = F.array_join(F.zip_with(pieces, tight, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return F.when(text.rlike(SPACED_RUN), joined).otherwise(text)
+
+
+def without_whitespace_column(text: Column) -> Column:
+    """T5 in the JVM."""
+    return F.regexp_replace(text, r"\s", "")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 import re
 import secrets
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 from veilspark import lexicon as lx
 from veilspark.operators.detect import Entity, Ner, detect
@@ -13,27 +16,37 @@ from veilspark.operators.reconcile import reconcile
 
 
 class Vault:
-    """Surrogates and digests of one run. Surrogates are random, one per value; digests are salted."""
+    """Surrogates and digests of one run.
 
-    def __init__(self, salt: bytes | None = None, surrogates: dict[str, str] | None = None) -> None:
+    Both are keyed by a salt drawn at random once per run, on the driver: equal values get equal ones in
+    every task and in every attempt of a task, without a shuffle, and without the salt they tell nothing
+    about the value. The tables of :mod:`veilspark.operators.vault` say which surrogate stands for which
+    digest of a value.
+    """
+
+    def __init__(self, salt: bytes | None = None, rounds: int = lx.PBKDF2_ROUNDS) -> None:
         self.salt = salt if salt is not None else secrets.token_bytes(16)
-        self.surrogates = dict(surrogates or {})
+        self.rounds = rounds
         self.digests: dict[str, str] = {}
 
     def tokenize(self, value: str, kind: str) -> str | None:
         if kind in lx.NEVER_TOKENIZED:
             return None
-        key = hashlib.sha256(value.encode()).hexdigest()
-        return self.surrogates.setdefault(key, f"<{kind}:{secrets.token_hex(16)}>")
+        return f"<{kind}:{surrogate_of(hashlib.sha256(value.encode()).hexdigest(), self.salt)}>"
 
     def digest(self, value: str, kind: str) -> str | None:
         if kind in lx.LOW_ENTROPY:
             return None
         if value not in self.digests:
-            self.digests[value] = hashlib.pbkdf2_hmac("sha256", value.encode(), self.salt, lx.PBKDF2_ROUNDS).hex()[:16]
+            self.digests[value] = hashlib.pbkdf2_hmac("sha256", value.encode(), self.salt, self.rounds).hex()[:16]
         return self.digests[value]
 
 
+def surrogate_of(digest: str, salt: bytes) -> str:
+    """Sixteen bytes, in hex, that stand for a value's digest under a salt."""
+    return hmac.new(salt, digest.encode(), "sha256").hexdigest()[:32]
+
+
 def replacement(e: Entity, action: str, vault: Vault, warnings: list[str]) -> str | None:
     if action == "ALLOW":
         return None
@@ -58,10 +71,8 @@ def apply(text: str, decisions: list[Decision], vault: Vault) -> tuple[str | Non
     Where spans nest, the outermost one absorbs what it holds with the strictest action among them, so
     no offset is used after the text under it has changed.
     """
-    counts: dict[str, int] = {}
-    for d in decisions:
-        counts[d.applied] = counts.get(d.applied, 0) + 1
-    if any(d.applied == "BLOCK" for d in decisions):
+    counts = dict(Counter(d.applied for d in decisions))
+    if "BLOCK" in counts:
         return None, counts, []
     warnings: list[str] = []
     todo: list[list] = []
@@ -80,42 +91,47 @@ def apply(text: str, decisions: list[Decision], vault: Vault) -> tuple[str | Non
     return "".join([*parts, text[at:]]), counts, warnings
 
 
-_MARKERS = [re.compile(p) for p in lx.MARKERS]
+# --- verification --------------------------------------------------------------------------------------
 
+_TYPE, _DIGEST = r"[A-Z][A-Z0-9_]{2,40}", r"[0-9a-f]{8,64}"
+#: What :func:`replacement` writes, for any type, and the mark of a blocked span.
+MARKER = re.compile(rf"\[(?:(?:REDACTED|BLOCKED):{_TYPE}|{_TYPE}(?::{_DIGEST})?)\]|<{_TYPE}:{_DIGEST}>|\*{{2,}}")
 
-def marker_spans(text: str) -> list[tuple[int, int]]:
-    """Where markers of earlier rewriting stand, overlaps merged."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((m.start(), m.end()) for p in _MARKERS for m in p.finditer(text)):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+
+class Masked:
+    """A rewritten text with its markers blanked, each character in its place."""
+
+    def __init__(self, text: str) -> None:
+        found = [m.span() for m in MARKER.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+        self.text = MARKER.sub(lambda m: " " * len(m[0]), text) if found else text
+
+    def touches(self, start: int, end: int) -> bool:
+        """Whether nothing but blanks lies between a span and the nearest marker before or after it."""
+        after, before = bisect_left(self.starts, end), bisect_right(self.ends, start) - 1
+        gaps = [(end, self.starts[after])] if after < len(self.starts) else []
+        gaps += [(self.ends[before], start)] if before >= 0 else []
+        return any(not self.text[a:b].strip() for a, b in gaps)
 
 
 def has_substance(text: str) -> bool:
     """Three letters or digits at least, and no more blanks than characters."""
-    return bool(text) and sum(c.isalnum() for c in text) >= 3 and sum(not c.isspace() for c in text) / len(text) >= 0.5
+    blanks = sum(map(str.isspace, text))
+    return sum(map(str.isalnum, text)) >= 3 and 2 * blanks <= len(text)
 
 
 def verify(text: str, profile: Profile, permitted: dict[str, int], actioned: set[str], ner: Ner | None = None) -> list[Entity]:
     """Entities of the types acted on that are still there, beyond what policy let stand."""
     if not text.strip():
         return []
-    marks = marker_spans(text)
-    chars = list(text)
-    for a, b in marks:
-        chars[a:b] = " " * (b - a)
-    masked = "".join(chars)
-    left, allowance = [], dict(permitted)
-    for e in reconcile(relevant(detect(masked, 0.0, ner, profile.types), profile))[0]:
-        if e.type not in actioned or not has_substance(e.text):
-            continue
-        if any((e.end <= a and not masked[e.end : a].strip()) or (e.start >= b and not masked[b : e.start].strip()) for a, b in marks):
-            continue
-        if allowance.get(e.type, 0) > 0:
-            allowance[e.type] -= 1
-        else:
-            left.append(e)
-    return left
+    masked = Masked(text)
+    again = reconcile(relevant(detect(masked.text, 0.0, ner, profile.types), profile))[0]
+    left = [e for e in again if e.type in actioned and has_substance(e.text) and not masked.touches(e.start, e.end)]
+    # of every type the first ones, as many as policy let stand, are those that may
+    seen: Counter[str] = Counter()
+    out = []
+    for e in left:
+        seen[e.type] += 1
+        if seen[e.type] > permitted.get(e.type, 0):
+            out.append(e)
+    return out

@@ -236,7 +236,7 @@ def vector_topk_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rule_rows() -> list[tuple]:
-    return [(name, r.type, r.action, lx.ACTIONS[r.action], r.threshold, r.span) for name in lx.PROFILE_ROWS for r in policy.own_rules(name).values()]
+    return [(name, r.type, r.action, lx.ACTIONS[r.action], r.threshold, r.span) for name in lx.PROFILES for r in policy.own_rules(name).values()]
 
 
 _RULES_SQL = ", ".join(f"('{n}', '{t}', '{a}', {p}, {th}, {sp})" for n, t, a, p, th, sp in _rule_rows())
@@ -252,7 +252,7 @@ def profile_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def _action_rows() -> list[tuple]:
     out = []
-    for name in lx.PROFILE_ROWS:
+    for name in lx.PROFILES:
         p = policy.resolve(name)
         out += [(name, t, r.action, d, r.destinations.get(d)) for t, r in p.rules.items() for d in lx.DESTINATIONS]
     return out

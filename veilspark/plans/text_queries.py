@@ -99,7 +99,7 @@ def _luhn_sql(expr: str) -> str:
 
 
 @query(f"""
-SELECT sample_id, coalesce(length(d) BETWEEN 13 AND 19 AND {_luhn_sql('d')}, false) AS valid
+SELECT sample_id, coalesce(length(d) BETWEEN 13 AND 19 AND replace(d, left(d, 1), '') <> '' AND {_luhn_sql('d')}, false) AS valid
 FROM (SELECT sample_id, any_value(regexp_replace(payment.card_number, '[^0-9]', '', 'g')) AS d FROM sample_pii GROUP BY sample_id) s WHERE d IS NOT NULL""")
 def card_luhn(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "sample_pii").where("payment.card_number is not null").select("sample_id", F.col("payment.card_number").alias("c")).dropDuplicates(["sample_id"])
