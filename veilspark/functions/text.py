@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ def has_substance(text: Column) -> Column:
 
 def register(spark) -> None:
     """The checksums and the normalisation as SQL functions, in whole batches."""
-    import pandas as pd
-
     from veilspark.operators import detect, normalize
 
     def vectorised(f, kind: str):
