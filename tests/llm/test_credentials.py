@@ -88,3 +88,82 @@ def test_every_sensitive_key_leads_to_its_line(key):
 def test_shapes_without_an_old_anchor():
     for line in ("see gha_0123456789abcdefABCD", "rk-live_0123456789abcdefABCD", "http POST host -u joe:aB3dE5gH", "psk = \"aB3dE5gH7jK9mN1p\""):
         assert cr.spans(line), line
+
+
+LEAKS = {
+    "yaml block": ("db:\n  password: |\n    aB3dE6gH9kL2\n  host: h.example\n", "aB3dE6gH9kL2"),
+    "yaml folded": ("secret: >-\n  aB3dE6gH9kL2mN4p\n  qR5sT7uV8wX9yZ01\nnext: 1\n", "qR5sT7uV8wX9yZ01"),
+    "yaml nested": ("credentials:\n  user: app\n  value: aB3dE6gH9\nport: 1\n", "aB3dE6gH9"),
+    "yaml pair": ("api:\n  key: AbC123xYz789\n", "AbC123xYz789"),
+    "yaml list": ("tokens:\n  - token:\n      value: aB3dE6gH9\n", "aB3dE6gH9"),
+    "ini": ("[api]\nhost = h\nkey = AbC123xYz789\n", "AbC123xYz789"),
+    "toml": ('[service.credentials]\nvalue = "aB3dE6gH9"\n', "aB3dE6gH9"),
+    "toml literal": ("password = '''\naB3dE6gH9kL2\nmN4pqR5sT7uV\n'''\nport = 1\n", "mN4pqR5sT7uV"),
+    "python literal": ('TOKEN = """\naB3dE6gH9kL2\nmN4pqR5sT7uV\n"""\n', "mN4pqR5sT7uV"),
+    "env literal": ('SECRET="aB3dE6gH9kL2\nmN4pqR5sT7uV"\nNEXT=1\n', "mN4pqR5sT7uV"),
+    "json": ('{"api": {"key": "AbC123xYz789", "n": 1}}', "AbC123xYz789"),
+    "json lines": ('{\n  "secret": {\n    "value":\n      "aB3dE6gH9"\n  }\n}\n', "aB3dE6gH9"),
+    "xml": ("<c>\n <password>aB3dE6gH9</password>\n <host>h</host>\n</c>\n", "aB3dE6gH9"),
+    "xml nested": ("<credential><user>a</user><value>aB3dE6gH9</value></credential>", "aB3dE6gH9"),
+    "xml cdata": ("<password><![CDATA[aB<d>E6gH9]]></password>", "E6gH9"),
+    "hcl": ('variable "db_password" {\n  type = string\n  default = "abc123x"\n}\n', "abc123x"),
+    "plain word": ("password = 'correcthorsebattery'\nport = 1\n", "correcthorse"),
+    "tagged": ("see qz-prod-aZ70VUO5hlKBKyU5jZnWPah40ssO in the log", "aZ70VUO5hlKBKyU5jZnWPah40ssO"),
+}
+
+
+@pytest.mark.parametrize("name", LEAKS)
+def test_whole_values_go_and_the_rest_stays(name):
+    text, secret = LEAKS[name]
+    done = cr.redact(text)
+    assert secret not in done and "[REDACTED_" in done, done
+    at = text.index(secret) if "literal" not in name and name != "yaml folded" else None
+    if at is not None and "<!" not in text:
+        assert cr.starts(text) == [text.count("\n", 0, at) + 1]
+    for keep in ("host", "port", "next: 1", "NEXT=1", "type = string", "user"):
+        assert (keep in text) == (keep in done)
+
+
+@pytest.mark.parametrize("text", [
+    "secret:\n  name: ledger-tls\n  kind: Opaque\n", "password:\nother: 1\nx:\n  value: aB3dE6gH9\n", "[api]\nlimit = 100\n[keys]\nkey = sort_by\n", '{"token": {"type": "string", "maxLength": 40}}', "<password></password><host>aB3dE6gH9</host>",
+    'password = getpass.getpass("Password: ")\nos.environ["X_MODE"] = "aB3dE6gH9kL2mN"', '"""The token is\nread from the file.\n"""\nx = 1', "token:\n  rotate after use\n", "on_getUserAccountTokenNow", "user-someLongCamelCaseIdentifierName",
+])
+def test_structure_without_secrets(text):
+    assert cr.redact(text) == text, cr.spans(text)
+
+
+def test_redacted_files_still_parse():
+    import configparser
+    import tomllib
+    import xml.etree.ElementTree as ET
+
+    assert json.loads(cr.redact(LEAKS["json"][0]))["api"]["n"] == 1 and json.loads(cr.redact(LEAKS["json lines"][0]))
+    assert tomllib.loads(cr.redact(LEAKS["toml"][0])) and tomllib.loads(cr.redact(LEAKS["toml literal"][0]))["port"] == 1
+    assert ET.fromstring(cr.redact(LEAKS["xml"][0])).find("host").text == "h" and ET.fromstring(cr.redact(LEAKS["xml nested"][0])) is not None
+    ini = configparser.ConfigParser()
+    ini.read_string(cr.redact(LEAKS["ini"][0]))
+    assert ini["api"]["host"] == "h" and ini["api"]["key"].startswith("[REDACTED")
+
+
+def test_bytes_outside_stay():
+    raw = b"\xff\xfe junk\r\npassword=abc123x\r\n\x80 end"
+    assert cr.redact_bytes(raw) == b"\xff\xfe junk\r\npassword=[REDACTED_PASSWORD]\r\n\x80 end"
+
+
+@given(st.text(alphabet="a:{}[]\"'=<>/-|\n k", max_size=120))
+def test_any_nesting_is_walked(text):
+    from veilspark.llm import configs
+
+    for path, a, b in configs.values(text):
+        assert path and 0 <= a <= b <= len(text)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    from veilspark.llm import configs
+
+    for unit in ("{", "a:\n", "<a>", "k = {", '"a":', "[a]\n", "- ", "a: |\n", "<a ", "''", "x: y\n  "):
+        began = time.time()
+        list(configs.values(unit * 20_000))
+        assert time.time() - began < 5, unit

@@ -1,14 +1,16 @@
 """Credentials in source, configuration, payloads, logs and notes: key paths, value shapes, splicing.
 
-A text is folded (full-width forms, look-alikes, invisible characters) with its positions kept, then
-lines that hold an anchor (a sensitive word, a scheme, a key's beginning) are parsed as the
-configuration they are: ``key = value``, ``key: value``, ``"key": "value"``, ``index["key"] = value``,
-``put("key", "value")``, ``<add key= value=>``, ``setKey("value")``, command-line flags, nested
-``variable "key" { default = value }`` and ``name: key / value: value``. A value is a credential if the
-last words of its key path are sensitive and it is a literal: not empty, a mask, a placeholder, a
-reference to a variable, file or vault, a call, a number or a plain word. Besides, shapes speak for
-themselves: connection strings with a password, signed tokens, well-known key prefixes, bearer and
-basic headers (basic ones are decoded), private key blocks.
+A text is folded (full-width forms, look-alikes, invisible characters) with its positions kept, and read
+in two ways. Its configuration is parsed to key paths with offsets (:mod:`veilspark.llm.configs`: nested
+YAML with block scalars, INI and TOML sections, JSON and other braces, XML elements, literals over several
+lines). And lines that hold an anchor (a sensitive word, a scheme, a key's beginning) are parsed as
+assignments in code: ``key = value``, ``key: value``, ``index["key"] = value``, ``put("key", "value")``,
+``<add key= value=>``, ``setKey("value")``, command-line flags, ``name: key / value: value``. A value is a
+credential if the last words of its key path are sensitive (general words like ``value`` aside) and it is a
+literal: not empty, a mask, a placeholder, a reference to a variable, file or vault, a call, a number or a
+plain word. Besides, shapes speak for themselves: connection strings with a password, signed tokens,
+keys of shuffled letters and digits behind a short prefix, bearer and basic headers (basic ones are
+decoded), private key blocks.
 
 :func:`redact` splices a placeholder over each value and leaves every other character; quotes, the
 scheme and host of a connection string, and the frame of a key block stay, so files remain well-formed.
@@ -33,22 +35,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm import configs
 from veilspark.llm.folding import fold
 
 LAST = {"password", "passwd", "pwd", "passphrase", "passcode", "pass", "pw", "secret", "token", "tok", "jwt", "bearer", "credential", "credentials", "apikey", "secretkey", "accesskey", "privatekey", "psk", "authtoken", "apitoken"}
 PAIRS = {("api", "key"), ("access", "key"), ("secret", "key"), ("private", "key"), ("signing", "key"), ("encryption", "key"), ("auth", "key"), ("master", "key"), ("account", "key"), ("shared", "key"), ("license", "key")}
 #: What a line must hold, in lower case, to be parsed at all: the last word of every sensitive key, and what each pattern below cannot do without.
+KEY_WORDS = frozenset({*LAST, *(pair[-1] for pair in PAIRS)})
 ANCHORS = (
-    *sorted({*LAST, *(pair[-1] for pair in PAIRS)}), "basic", "://", "eyj", "akia", "asia", "-----begin", *(f"gh{c}_" for c in ascii_lowercase),
-    "lmn_", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "xox", "aiza", "curl", "wget", "http", "mysql", "login", "default", "value",
+    *sorted(KEY_WORDS), "basic", "://", "eyj", "akia", "asia", "-----begin", *(f"gh{c}_" for c in ascii_lowercase),
+    "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "xox", "aiza", "curl", "wget", "http", "mysql", "login", "default", "value",
 )
+#: Last words of a key path that say nothing: what is before them counts.
+GENERAL = {"value", "values", "default", "data", "content", "current", "literal", "plain", "plaintext", "string", "text", "raw", "clear"}
 
 
 @lru_cache(1)
 def _anchors() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for word in ANCHORS:
-        automaton.add_word(word, len(word))
+        automaton.add_word(word, word in KEY_WORDS)
     automaton.make_automaton()
     return automaton
 
@@ -68,6 +74,20 @@ def sensitive(path: str) -> bool:
     return tuple(words[-2:]) in PAIRS or tuple(words[-3:]) == ("access", "key", "id") or words[-2:] == ["key", "base"]
 
 
+@lru_cache(65536)
+def sensitive_path(path: tuple[str, ...]) -> bool:
+    """Whether a key path names a secret: its own key does, or it says nothing and the keys above do."""
+    if sensitive(path[-1]):
+        return True
+    words = [w for key in path[-4:] for w in _WORDS.findall(key)]
+    own = [w.lower() for w in _WORDS.findall(path[-1])]
+    if not own or not (set(own) <= GENERAL or own[-1] == "key"):
+        return False
+    while words and words[-1].lower() in GENERAL:
+        words.pop()
+    return bool(words) and sensitive("_".join(words))
+
+
 _PLACEHOLDER = re.compile(
     r"""(?ix)^(?:
       [*x•.\#_?-]+ | \$\{.* | \$[a-z_]\w* | \$\(.* | %\(.* | %[a-z_]+% | \{.* | <.*>? | \[.* | \(.* | @.*
@@ -88,6 +108,13 @@ def _shuffled(value: str) -> bool:
     return len(value) >= 16 and sum(a.islower() and b.isupper() for a, b in zip(value, value[1:])) >= 3
 
 
+def _made_up(value: str) -> bool:
+    """Whether letters of both cases and digits are mixed as no identifier mixes them."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in value]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return len(set(kinds)) == 3 and changes >= 0.25 * len(value) or "u" in kinds and "l" in kinds and changes >= 0.4 * len(value)
+
+
 def secret_value(value: str, quoted: bool = False, least: int = 6) -> bool:
     """Whether a value of a sensitive key is a secret in clear or encoded form."""
     if len(value) < least or _PLACEHOLDER.match(value) or _MASKED.search(value):
@@ -116,8 +143,10 @@ BEARER = re.compile(r"(?i)\bbearer\s{1,4}(?P<v>[A-Za-z0-9._~+/=\-]{12,})")
 BASIC = re.compile(r"(?i)\bbasic\s{1,4}(?P<v>[A-Za-z0-9+/]{8,}={0,2})")
 SHAPE = re.compile(
     r"(?<![A-Za-z0-9_/+=\-.])(?:eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]*)?|(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
-    r"|(?:gh[a-z]_|xkey-|lmn_|xox[abprs]-|AIza)[A-Za-z0-9_\-]{16,}|(?:sk|pk|rk)[_\-](?:live|prod|stage|test|ant)?[_\-]?[A-Za-z0-9]{18,})"
+    r"|(?:gh[a-z]_|xox[abprs]-|AIza)[A-Za-z0-9_\-]{16,}|(?:sk|pk|rk)[_\-](?:live|prod|stage|test|ant)?[_\-]?[A-Za-z0-9]{18,})"
 )
+#: A short prefix and a run of letters and digits; whether they are shuffled is tested.
+_TAGGED = re.compile(r"(?<![A-Za-z0-9_/+=\-.])[a-z]{2,5}[0-9]?[_\-](?:[a-z]{2,5}[_\-])?([A-Za-z0-9]{16,})(?![A-Za-z0-9_\-])")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _DEFAULT = re.compile(r"""^\s*default\s*=\s*(["'])(?P<v>[^"'\n]*)\1""")
@@ -126,6 +155,35 @@ _NAME = re.compile(r"""^\s*-?\s*name\s*:\s*["']?([\w.\-]+)""")
 _TAIL = ".,;:)!?"
 
 
+#: Words that stand for a kind of value or a state rather than for a value.
+_KINDS = {"string", "integer", "number", "boolean", "object", "array", "secret", "hidden", "masked", "plain", "plaintext", "encrypted", "hashed", "required", "optional", "enabled", "disabled", "invalid", "missing", "expired", "unknown", "forgotten", "reset", "change", "confirm", "current", "default", "account", "credential", "credentials", "passphrase", "passcode", "authentication", "username"}
+
+
+def _spelled(key: str, value: str) -> bool:
+    """Whether a quoted plain word under a password's key is the password: any word but one that names a kind of value."""
+    words = [w.lower() for w in _WORDS.findall(key)]
+    if not words or words[-1] not in ("password", "passwd", "pwd", "passphrase", "pass"):
+        return False
+    return len(value) >= 6 and value.isalpha() and value.isascii() and value.lower() not in _KINDS and not _PLACEHOLDER.match(value) and value.lower() not in words
+
+
+def _literal_secret(value: str) -> bool:
+    """Whether a value of one or more lines is a secret; several lines must be key text, without blanks inside."""
+    lines = [x.strip() for x in value.split("\n") if x.strip()]
+    if len(lines) == 1:
+        return secret_value(lines[0], True)
+    return not any(" " in x or "\t" in x for x in lines) and "-----BEGIN" not in value and secret_value("".join(lines), True)
+
+
+def _configured(text: str) -> Iterator[tuple[int, int, str]]:
+    """The credentials that the nesting of a configuration gives a sensitive key path."""
+    for path, start, end in configs.values(text):
+        if start < end and sensitive_path(path):
+            value = text[start:end]
+            if "://" not in value and _literal_secret(value) and (value[:7].lower() != "bearer " and value[:6].lower() != "basic "):
+                yield start, end, _kind(path[-1] if sensitive(path[-1]) else "_".join(path[-2:]))
+
+
 def _basic(value: str) -> bool:
     try:
         got = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("utf-8")
@@ -159,10 +217,14 @@ def _line(s: str, text: str, at: int) -> Iterator[tuple[int, int, str]]:
             end = s.find(closing, start)
             while end > 0 and s[end - 1] == "\\" and quote != "`":
                 end = s.find(closing, end + 1)
-            end = len(s) if end < 0 else end
+            if end < 0:  # the literal closes on another line
+                if (more := configs.literal(text, at + start, closing)) and _literal_secret(text[more[0] : more[1]]):
+                    yield more[0] - at, more[1] - at, _kind(m["key"])
+                    continue
+                end = len(s)
             if "-----BEGIN" in s[start:end]:
                 continue
-            if secret_value(s[start:end], True):
+            if secret_value(s[start:end], True) or _spelled(m["key"], s[start:end]):
                 yield start, end, _kind(m["key"])
             continue
         if opened:  # an opening bracket without a literal is code
@@ -224,7 +286,12 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     low = folded.lower()
     if len(low) != n:  # the lower case of a few letters is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in folded)
-    for hit, _ in _anchors().iter(low):
+    hits = list(_anchors().iter(low))
+    if any(named for _, named in hits):
+        found += _configured(folded)
+    # keys behind a prefix need no anchor
+    found += [(m.start(), m.end(), "TOKEN") for m in _TAGGED.finditer(folded) if _made_up(m[1])]
+    for hit, _ in hits:
         if hit < at:
             continue
         start = max(folded.rfind("\n", 0, hit) + 1, at)
@@ -281,6 +348,11 @@ def redact(text: str | None) -> str | None:
     return "".join([*parts, text[at:]])
 
 
+def redact_bytes(raw: bytes) -> bytes:
+    """:func:`redact` on the bytes of a file: those outside the credentials stay as they are, whatever they are."""
+    return redact(raw.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+
+
 def starts(text: str | None) -> list[int]:
     """The 1-based lines on which at least one credential begins."""
     if not text:
