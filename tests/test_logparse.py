@@ -72,6 +72,49 @@ def test_long_record_and_ties(spark):
     assert got.where("n_lines = 1").count() == 40_000
 
 
+SERVICES, WORDS = ("billing", "auth.token", "gateway", "order-sync", "mailer"), ("INFO", "WARN", "ERROR", "DEBUG")
+MESSAGES = ("started ok", "user 17 logged in", "cache miss for key a7", "retry 3 of 5 after timeout", "done", "connection to 10.0.0.7 lost", "flush took 12 ms", "job queued", "disk almost full")
+#: Layouts that no rule names: time, level, service and message in any order and frame.
+LAYOUTS = (
+    "[{s}] {l} {t} {m}", "{t} | {l} | {s} | {m}", "{l}:{s}:{t} {m}", "{t} {s} {l} {m}", "{t} {l} {s} {m}", "{s}: {t} {l} {m}", "{t} [{l}] {s}: {m}", "{t} {l} [{s}] {m}", "{l} {t} {s} - {m}", "{t}; {l}; {s}; {m}", "<{s}> {t} {l} {m}",
+    "{t} ({s}) {l}: {m}", "{l} [{t}] {s}: {m}", "{t} [{s}] [{l}] {m}", "{t} - {l} - {s} - {m}", "[{t}][{l}][{s}] {m}", "{l} {s} {t}: {m}", "{t}\t{l}\t{s}\t{m}", "{s} {l} [{t}] {m}", "{s} | {t} | {l} | {m}",
+)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_unknown_layouts_are_mined(spark, layout):
+    lines = [layout.format(t=f"2026-03-{d + 1:02d} 10:00:0{d}", l=WORDS[d % 4], s=SERVICES[d % 5], m=MESSAGES[d]) for d in range(9)]
+    text = "\n".join([lines[0], "  a line that belongs", *lines[1:]])
+    got = sorted(L.parse_logs(frame(spark, {1: text})).collect(), key=lambda r: r.line_no)
+    assert [(r.level, r.component) for r in got] == [(WORDS[d % 4], SERVICES[d % 5]) for d in range(9)]
+    if ";" not in layout:
+        assert [r.message for r in got] == [MESSAGES[0] + "\n  a line that belongs", *MESSAGES[1:]]
+    assert [r.n_lines for r in got] == [2] + [1] * 8
+
+
+def test_entries_without_a_component_and_prose_with_times(spark):
+    text = "\n".join(f"2026-03-0{d + 1} 10:00:00 {WORDS[d % 4]} {MESSAGES[d]}" for d in range(9))
+    prose = "\n".join(f"They met at 2026-03-0{d + 1} 10:00:00 in the {MESSAGES[d]}" for d in range(9))
+    got = L.parse_logs(frame(spark, {1: text, 2: prose})).collect()
+    assert {r.record_id for r in got} == {1} and len(got) == 9 and {r.component for r in got} == {""}
+    assert {r.message for r in got} == set(MESSAGES)
+
+
+def test_keys_get_roles_by_their_values(spark):
+    import json
+
+    rows = [json.dumps({"at": f"2026-03-0{d % 9 + 1}T10:00:00Z", "sev": WORDS[d % 4].lower(), "unit": SERVICES[d % 5], "note": f"{MESSAGES[d % 9]} {d}"}) for d in range(60)]
+    got = L.parse_logs(frame(spark, {1: "\n".join(rows)})).collect()
+    assert len(got) == 60 and {(r.level, r.component) for r in got} == {(WORDS[d % 4], SERVICES[d % 5]) for d in range(60)}
+
+
+def test_many_key_sets_do_not_meet_in_one_group():
+    m = L.Miner()
+    m.record("\n".join('{"ts": "2026-03-01T10:00:00Z", "k%d": "v"}' % d for d in range(3000)))
+    rows = m.rows()
+    assert len({(kind, bucket) for kind, bucket, *_ in rows}) > 3000
+
+
 def test_template_merging():
     a, b = L.tokenise("2025-03-04T01:02:03Z INFO service=alpha one"), L.tokenise("2025-03-04T01:02:04Z WARN svc=beta other thing")
     t = L.merge(a, b)
