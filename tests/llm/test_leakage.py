@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from veilspark.llm import leakage as lk
 
 ITEM = (
@@ -53,10 +55,18 @@ def test_documents(spark):
     assert lk.found(docs, items.where("false")).count() == 0 and lk.found(docs.where("false"), items).count() == 0
 
 
-def brute(item, text):
+def typer_of(*passages):
+    """The vocabulary of some items, made in one place."""
+    seen = [x for p in passages for x in zip(*lk.item_words(p))]
+    named = {w for w, slot in seen if slot}
+    words = {w for w, slot in seen if not slot and w not in named and not w[0].isdigit()}
+    return lk.Typer(np.array(sorted(lk._hash(w) | 4 for w in words), dtype=np.uint64))
+
+
+def brute(typer, item, text):
     """Longest span of the item by a plain table over all pairs of places."""
-    look = lk.Items([(1, item)])
-    a, slot, b = look.words[1], look.slot[1], lk.words(text)
+    look = lk.Aligner(typer, item)
+    a, slot, b = look.words, look.slot, list(map(lk.normal, lk.words(text)))
     best, table = 0, {}
     for i in range(len(a)):
         for j in range(len(b)):
@@ -73,24 +83,57 @@ def brute(item, text):
     return best
 
 
-def test_against_brute_force():
+def test_against_brute_force(spark):
     rng = random.Random(7)
-    look = lk.Items([(1, ITEM)])
-    for n in range(60):
+    texts = []
+    for n in range(80):
         a = rng.randrange(len(W) - 10)
         part = " ".join(W[a : a + rng.randrange(10, len(W))])
-        text = "Some words before it. " + (spoil(part, n) if n % 2 else part) + " and some after. " + OTHER
-        assert look.find(text) == ([1] if brute(ITEM, text) >= lk.RUN else []), (n, brute(ITEM, text), text)
+        texts.append("Some words before it. " + (spoil(part, n) if n % 2 else part) + " and some after. " + OTHER)
+    typer = typer_of(ITEM)
+    want = {n for n, t in enumerate(texts) if brute(typer, ITEM, t) >= lk.RUN}
+    got = lk.found(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame([(1, ITEM)], "item_id bigint, passage string"))
+    assert {r.doc_id for r in got.collect()} == want and 10 < len(want) < 80
 
 
-def test_items_without_slots_are_aligned_plainly():
+def test_items_without_slots(spark):
     text = "a quiet word about nothing at all that goes on and on through every page of it until the reader is quite tired of what it said before"
-    look = lk.Items([(1, text), (2, ITEM)])
-    assert look.plain_items == [1] and look.find("so " + text + " end") == [1] and look.find(text[:60]) == []
+    docs = spark.createDataFrame([(1, "so " + text + " end"), (2, text[:60]), (3, "nothing here")], "doc_id bigint, text string")
+    got = lk.found(docs, spark.createDataFrame([(1, text), (2, ITEM)], "item_id bigint, passage string"))
+    assert [tuple(r) for r in got.collect()] == [(1, 1)]
+
+
+def test_windows_agree_in_template_and_slots():
+    base = "the lower court held that Emil T. Vetch of Holm paid 2,350 crowns for the mill"
+    typer = typer_of(base + " crown kilometres km")
+    of = lambda t: {(a, b) for a, b, *_ in zip(*typer.windows(list(map(lk.normal, lk.words(t)))))}
+    template = lambda t: {a for a, _ in of(t)}
+    # other names and figures: the same template, other slots
+    other = base.replace("Holm", "Lund").replace("2,350", "99")
+    assert template(other) == template(base) and len(of(other) & of(base)) < len(of(base))
+    # a run of names is known by its last word, figures by their digits, units by what they mean
+    assert of(base.replace("Emil T. Vetch", "Vetch").replace("2,350", "2350")) == of(base)
+    assert of(base.replace("crowns", "couronnes")) == of(base) and of(base.replace("crowns", "pounds")) != of(base)
+    assert typer.windows([])[0].size == 0 and typer.windows(["a"])[0].size == 0
+
+
+def test_results_do_not_depend_on_the_other_items(spark):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in DOCS.items()], "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, passage string")
+    both = {tuple(r) for r in lk.found(docs, items.repartition(5)).collect()}
+    assert both == {tuple(r) for r in lk.found(docs, items.coalesce(1)).collect()} == {(k, i) for k, (_, want) in DOCS.items() for i in want}
 
 
-def test_slices(spark, monkeypatch):
-    monkeypatch.setattr(lk, "SLICE_WINDOWS", 1)
-    docs = spark.createDataFrame([(10, DOCS[10][0])], "doc_id bigint, text string")
+def test_both_forms_of_the_key_set(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in DOCS.items()], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, passage string")
-    assert {r.item_id for r in lk.found(docs, items).collect()} == {1, 2}
+    want = {tuple(r) for r in lk.found(docs, items).collect()}
+    monkeypatch.setattr(lk, "MAX_KEYS", 3)
+    monkeypatch.setattr(lk, "BITS", 256)
+    assert {tuple(r) for r in lk.found(docs, items).collect()} == want
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key bigint")
+    assert lk.members(frame).bits is not None and lk.members(frame).among(keys).all()
+    monkeypatch.setattr(lk, "BITS", 1 << 20)
+    assert lk.members(frame).among(keys).all() and lk.members(frame).among(rng.integers(0, 2**64, 500, dtype=np.uint64)).sum() < 5
