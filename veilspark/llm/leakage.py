@@ -29,7 +29,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,17 +69,15 @@ UNITS = {
 }
 
 
-@lru_cache(1)
-def _accents() -> re.Pattern:
-    """All characters that combine with the one before them."""
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.combining(chr(c))) + "]+")
+#: What the letters of Latin, Greek and Cyrillic decompose to.
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 
 
 def plain(text: str) -> str:
     """ASCII letters, digits and marks without page headers; the case stays."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", fold(text)[0])
-        text = text if text.isascii() else _accents().sub("", text)
+        text = text if text.isascii() else _ACCENTS.sub("", text)
     if _PAGE_MARK.search(text):
         text = _PAGE.sub("", text)
     return _HYPHEN.sub(r"\1", text) if "-" in text else text
