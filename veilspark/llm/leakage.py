@@ -51,7 +51,9 @@ SPARE = 5
 #: Diagonals on either side of a met window that a chain of RUN words may reach.
 DRIFT = 12
 
-_WORDS = re.compile(r"\d+(?:[.,]\d{3})*(?![\d])|[a-z0-9]+")
+_WORDS = re.compile(r"\d+|[a-z0-9]+")
+#: The marks between the thousands of a figure.
+_THOUSANDS = re.compile(r"[.,](?<=\d[.,])(?=\d{3}(?!\d))")
 _CASED = re.compile(r"\d+(?:[.,]\d{3})*(?![\d])|[A-Za-z0-9]+")
 _HYPHEN = re.compile(r"([A-Za-z])-[ \t]*\r?\n[ \t]*(?=[a-z])")
 #: Page headers and footers inside a scanned text.
@@ -84,7 +86,7 @@ def plain(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    return _WORDS.findall(plain(text).lower())
+    return _WORDS.findall(_THOUSANDS.sub("", plain(text).lower()))
 
 
 def item_words(text: str) -> tuple[list[str], list[bool]]:
@@ -109,32 +111,46 @@ def _hash(word: str) -> int:
 _UNIT_OF = {spelling: _hash(f"unit {unit}") for unit, spellings in UNITS.items() for spelling in spellings}
 
 
-def normal(word: str) -> str:
-    return word.replace(",", "").replace(".", "") if word[0].isdigit() else word
-
-
 class Typer:
     """Types the words of texts by one vocabulary: sorted hashes of the words that belong to templates."""
 
     def __init__(self, vocabulary: np.ndarray) -> None:
         self.vocabulary = vocabulary
-        self.cache: dict[str, int] = {}
-
-    def _code(self, word: str) -> int:
-        if len(self.cache) > 1_000_000:
-            self.cache.clear()
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the words seen; a number is given to each anew, under which its codes stand."""
+        self.seen: dict[str, int] = {}
+        self.code_of, self.hash_of, self.unit_of = np.zeros(4096, np.uint64), np.zeros(4096, np.uint64), np.zeros(4096, np.uint64)
+
+    def _add(self, word: str) -> int:
+        n = self.seen[word] = len(self.seen) + 1
+        if n == len(self.code_of):
+            self.code_of, self.hash_of, self.unit_of = (np.concatenate([x, np.zeros_like(x)]) for x in (self.code_of, self.hash_of, self.unit_of))
+        h = _hash(word)
+        code = h | 4
         if word[0].isdigit():
             code = NUMBER
         else:
-            h = _hash(word) | 4
-            at = int(np.searchsorted(self.vocabulary, np.uint64(h)))
-            code = h if at < len(self.vocabulary) and int(self.vocabulary[at]) == h else NAME
-        self.cache[word] = code
-        return code
+            at = int(np.searchsorted(self.vocabulary, np.uint64(code)))
+            if at == len(self.vocabulary) or int(self.vocabulary[at]) != code:
+                code = NAME
+        self.code_of[n], self.hash_of[n], self.unit_of[n] = code, h, _UNIT_OF.get(word, 0)
+        return n
+
+    def numbers(self, ws: list[str]) -> np.ndarray:
+        if len(self.seen) > 1_000_000:
+            self.clear()
+        get, add = self.seen.get, self._add
+        return np.array([get(w) or add(w) for w in ws], dtype=np.int64)
 
     def codes(self, ws: list[str]) -> np.ndarray:
-        get, miss = self.cache.get, self._code
-        return np.array([get(w) or miss(w) for w in ws], dtype=np.uint64)
+        numbers = self.numbers(ws)  # may make the tables longer
+        return self.code_of[numbers]
+
+    def hashes(self, ws: list[str]) -> np.ndarray:
+        numbers = self.numbers(ws)
+        return self.hash_of[numbers]
 
     def slots(self, ws: list[str]) -> list[bool]:
         """Which words are names or figures."""
@@ -142,16 +158,16 @@ class Typer:
 
     def windows(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of every window: hash of its template, hash of its slots, place of its first word, number of its template words."""
-        codes = self.codes(ws)
-        if len(codes) < WINDOW:
+        if len(ws) < WINDOW:
             return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-        values = np.zeros(len(codes), dtype=np.uint64)
-        for i in np.nonzero(codes <= NAME)[0].tolist():
-            values[i] = _hash(ws[i])
+        numbers = self.numbers(ws)
+        codes = self.code_of[numbers]
+        values = np.where(codes <= NAME, self.hash_of[numbers], np.uint64(0))
         # a unit is one behind a number only
-        for i in (np.nonzero(codes[:-1] == NUMBER)[0] + 1).tolist():
-            if unit := _UNIT_OF.get(ws[i]):
-                codes[i], values[i] = UNIT, unit
+        unit = self.unit_of[numbers]
+        unit[0], unit[1:] = 0, np.where(codes[:-1] == NUMBER, unit[1:], 0)
+        codes = np.where(unit > 0, np.uint64(UNIT), codes)
+        values = np.where(unit > 0, unit, values)
         named = codes == NAME
         keep = np.ones(len(codes), dtype=bool)
         keep[1:] = ~(named[1:] & named[:-1])
@@ -198,30 +214,30 @@ class Aligner:
         self.places: dict[str, list[int]] = {}
         for i, w in enumerate(self.words):
             self.places.setdefault(w, []).append(i)
-        self.hashes = np.array([_hash(w) for w in self.words], dtype=np.uint64)
+        self.hashes = typer.hashes(self.words)
 
-    def covered(self, start: int, ws: list[str], known: dict[str, int]) -> bool:
+    def covered(self, start: int, hashes: np.ndarray) -> bool:
         """Whether near a diagonal enough words of some run of the item are met at all, in whatever order.
 
         What a chain needs: it moves by one diagonal at a change, so it stays within DRIFT of where it met.
         """
         length = len(self.words)
         a = max(0, start - DRIFT)
-        part = ws[a : max(0, start + length + DRIFT)]
-        if not part:
+        part = hashes[a : max(0, start + length + DRIFT)]
+        if not len(part):
             return False
         row = np.zeros(length + 2 * DRIFT, dtype=np.uint64)
-        row[a - start + DRIFT : a - start + DRIFT + len(part)] = [known.get(w) or known.setdefault(w, _hash(w)) for w in part]
+        row[a - start + DRIFT : a - start + DRIFT + len(part)] = part
         near = np.lib.stride_tricks.sliding_window_view(row, 2 * DRIFT + 1)
         met = np.concatenate([[0], np.cumsum((near == self.hashes[:, None]).any(axis=1))])
         run = min(RUN, length)
         return bool((met[run:] - met[:-run]).max() >= run - SPARE)
 
-    def carried(self, starts: list[int], ws: list[str], known: dict[str, int]) -> bool:
+    def carried(self, starts: list[int], ws: list[str], hashes: np.ndarray) -> bool:
         """Whether around some place where the item would begin, a chain of its words is long enough."""
         length = len(self.words)
         need = min(RUN, length)
-        starts = [s for s in sorted(starts) if self.covered(s, ws, known)]
+        starts = [s for s in sorted(starts) if self.covered(s, hashes)]
         if not starts:
             return False
         a = starts[0]
@@ -338,7 +354,7 @@ def found(documents: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             ids, texts, hits = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = [normal(w) if w[0] <= "9" else w for w in words(text)]
+                ws = words(text)
                 template, slots, places, solid = typer.windows(ws)
                 met = np.nonzero((solid >= 2) & keys.among(_key(template, slots)))[0] if len(template) else ()
                 if len(met):
@@ -359,21 +375,20 @@ def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     pairs = met.join(hit.select("doc_id", "words"), "doc_id").repartition(tasks, "doc_id")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        typer, aligners, known = Typer(words_of.value), {}, {}
+        typer, aligners = Typer(words_of.value), {}
         for batch in batches:
             docs, keys = [], []
             for doc, items_met, text in zip(*(c.to_pylist() for c in batch.columns)):
                 ws = text.split(" ")
+                hashes = typer.hashes(ws)
                 for pair in items_met:
                     if (look := aligners.get(pair["passage"])) is None:
                         if len(aligners) > 10_000:
                             aligners.clear()
                         look = aligners[pair["passage"]] = Aligner(typer, pair["passage"])
-                    if look.carried(pair["starts"], ws, known):
+                    if look.carried(pair["starts"], ws, hashes):
                         docs.append(doc)
                         keys.append(pair["item_id"])
-                if len(known) > 1_000_000:
-                    known.clear()
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "item_id"])
 
     return pairs.select("doc_id", "met", "words").mapInArrow(align, "doc_id bigint, item_id bigint").distinct()
