@@ -89,12 +89,30 @@ def test_sizes(spark):
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 50_000 and 0 < got[5] <= 20_000 and len(got) == 5
 
 
-def test_too_many_classes_are_refused(spark, monkeypatch):
-    import veilspark.llm.packing as packing
-
-    monkeypatch.setattr(packing, "MAX_CLASSES", 2, raising=False)
-    counted = spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens int")
-    spec = spark.createDataFrame([("a", 8), ("b", 9), ("c", 10)], "container_class string, capacity_tokens int")
-    with pytest.raises(ValueError, match="container classes"):
-        packing.pack(counted, spec)
-    assert packing.pack(counted, spec.where("capacity_tokens < 10")).count() == 2
+def test_classes_are_packed_in_groups_and_none_is_left_out(spark, monkeypatch):
+    sizes = {i: (i * 7) % 23 for i in range(60)}
+    counted = spark.createDataFrame([*sizes.items()], "doc_id bigint, n_tokens int")
+    spec = {f"c{n}": 8 + n for n in range(7)}
+    table = spark.createDataFrame([*spec.items()], "container_class string, capacity_tokens int")
+    whole = sorted(map(tuple, pk.pack(counted, table).collect()), key=str)
+    monkeypatch.setattr(pk, "GROUP_CLASSES", 3)
+    parts = pk.pack(counted, table).collect()
+    check(parts, sizes, spec)
+    assert sorted(map(tuple, parts), key=str) == whole
+    monkeypatch.setattr(pk, "GROUP_CLASSES", 256)
+    monkeypatch.setattr(pk, "GROUP_CAPACITY", 20)
+    assert sorted(map(tuple, pk.pack(counted, table).collect()), key=str) == whole
+
+
+def test_no_more_containers_than_best_fit():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for capacity in (64, 200):
+        have = Counter(rng.choice([rng.randrange(1, capacity), rng.randrange(capacity // 2, capacity)]) for _ in range(3000))
+        dense = np.zeros(capacity + 1, dtype=np.int64)
+        for s, n in have.items():
+            dense[s] = n
+        assert sum(n for _, n in pk.plan(have, capacity)) <= sum(n for _, n in pk.best_fit(dense, capacity))

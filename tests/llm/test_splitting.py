@@ -64,7 +64,7 @@ PROFILES = [("A", ["B"], 10), ("B", ["A", "gone"], 4000), ("C", [], None), ("D",
 @pytest.mark.parametrize(("name", "span"), [("A", 4000), ("B", 4000), ("C", 0), ("D", 2000)])
 def test_inheritance(spark, name, span):
     df = spark.createDataFrame(PROFILES, "profile_name string, inherits array<string>, max_pattern_span int")
-    assert sp.spans_of(df)[name] == span
+    assert sp.spans_of(df.collect())[name] == span
 
 
 def test_scans(spark):
@@ -88,3 +88,11 @@ def test_scans(spark):
     assert texts[2, 16384, 4096] == "a b\n" * 4097 and texts[5, 16384, 4096] == "🙂" * 20_001
     assert sp.oversized(content.where("false"), scans, profiles).count() == 0
     assert sp.oversized(content, scans.where("false"), profiles.where("false")).count() == 0
+
+
+def test_both_ways_to_inherited_spans(spark, monkeypatch):
+    df = spark.createDataFrame(PROFILES, "profile_name string, inherits array<string>, max_pattern_span int")
+    want = {r.name: r.span for r in sp.span_table(df).collect()}
+    monkeypatch.setattr(sp, "MAX_PROFILES", 1)
+    got = {r.name: r.span for r in sp.span_table(df).collect()}
+    assert got == want and len(got) > 1

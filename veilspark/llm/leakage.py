@@ -55,7 +55,7 @@ _WORDS = re.compile(r"\d+|[a-z0-9]+")
 #: The marks between the thousands of a figure.
 _THOUSANDS = re.compile(r"[.,](?<=\d[.,])(?=\d{3}(?!\d))")
 _CASED = re.compile(r"\d+(?:[.,]\d{3})*(?![\d])|[A-Za-z0-9]+")
-_HYPHEN = re.compile(r"([A-Za-z])-[ \t]*\r?\n[ \t]*(?=[a-z])")
+_HYPHEN = re.compile(r"-(?<=[A-Za-z]-)[ \t]*\r?\n[ \t]*(?=[a-z])")
 #: Page headers and footers inside a scanned text.
 _PAGE = re.compile(r"(?im)^.{0,60}?(?:\bpage \d{1,4} of \d{1,4}|[|/–—-] ?\d{1,4}/\d{1,4}|- ?\d{1,4} \(\d{1,4}\) ?-|\[page break\])[ \t]*\r?(?:\n|\Z)")
 #: What every such line holds; most texts have none and are not walked line by line.
@@ -82,7 +82,7 @@ def plain(text: str) -> str:
         text = text if text.isascii() else _ACCENTS.sub("", text)
     if _PAGE_MARK.search(text):
         text = _PAGE.sub("", text)
-    return _HYPHEN.sub(r"\1", text) if "-" in text else text
+    return _HYPHEN.sub("", text) if "-" in text else text
 
 
 def words(text: str) -> list[str]:

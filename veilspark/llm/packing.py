@@ -42,10 +42,10 @@ GRID = 160
 STEPS = 400
 #: Weights of the sizes in the fits that are tried.
 POWERS = (0.5, 2.0, 6.0)
-#: Capacities are configuration; together they bound the histogram that the driver sees.
-MAX_CAPACITY = 4_000_000
-#: Container classes at most.
-MAX_CLASSES = 10_000
+#: Capacities are configuration. Classes are packed in groups: their capacities together bound the histogram that the
+#: driver sees at once, their number the rows that a document makes at once. One capacity alone may be larger.
+GROUP_CAPACITY = 4_000_000
+GROUP_CLASSES = 256
 
 
 @lru_cache(4)
@@ -174,6 +174,8 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
     if not len(rows):
         return best_fit(have.astype(np.int64), capacity)
     made = [_rounded(rows, fit(rows, have, power), have.astype(np.int64), capacity) for power in POWERS]
+    # no pattern at all is the fit of zeros: where most sizes exceed half a container it may be the best
+    made.append(best_fit(have.astype(np.int64), capacity))
     return min(made, key=lambda m: sum(n for _, n in m))
 
 
@@ -218,13 +220,28 @@ def pack(counted: DataFrame, spec: DataFrame) -> DataFrame:
     ``counted`` has ``doc_id, n_tokens``. A class's containers are called p0, p1 and so on; full pieces
     of oversized texts have containers of their own, called d<document>.<piece>.
     """
-    spark = counted.sparkSession
-    classes = [(r.container_class, r.capacity_tokens) for r in spec.select("container_class", "capacity_tokens").where("capacity_tokens >= 1").distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} container classes")
-    if sum(c for _, c in classes) > MAX_CAPACITY:
-        raise ValueError(f"the capacities exceed {MAX_CAPACITY} together")
     counted = cut(counted)
+    out = None
+    for classes in _groups(spec):
+        got = _pack(counted, classes)
+        out = got if out is None else out.unionByName(got)
+    return _pack(counted, []) if out is None else out
+
+
+def _groups(spec: DataFrame) -> Iterator[list[tuple[str, int]]]:
+    """All container classes, in groups of bounded capacity and number, read one by one."""
+    group: list[tuple[str, int]] = []
+    for r in spec.select("container_class", "capacity_tokens").where("capacity_tokens >= 1").distinct().orderBy("capacity_tokens", "container_class").toLocalIterator():
+        if group and (len(group) == GROUP_CLASSES or sum(c for _, c in group) + r.capacity_tokens > GROUP_CAPACITY):
+            yield group
+            group = []
+        group.append((r.container_class, r.capacity_tokens))
+    if group:
+        yield group
+
+
+def _pack(counted: DataFrame, classes: list[tuple[str, int]]) -> DataFrame:
+    spark = counted.sparkSession
     table = F.array(*[F.struct(F.lit(name).cast("string").alias("container_class"), F.lit(capacity).alias("capacity")) for name, capacity in classes]) if classes else F.array().cast("array<struct<container_class:string,capacity:int>>")
     every = counted.select("doc_id", "n_tokens", F.inline(table))
     every = every.withColumn("full", F.when(F.col("n_tokens") > F.col("capacity"), F.expr("n_tokens div capacity")).otherwise(F.lit(0)))

@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.session import cut
+
 MIN_OVERLAP = 4096
 BASE_SIZE = 8192
 SIZE_PER_OVERLAP = 4
-#: Profiles are configuration; a table beyond this is refused instead of collected.
+#: Profiles are configuration; a table beyond this is not collected but joined with itself until nothing changes.
 MAX_PROFILES = 100_000
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, HARD = 4, 3, 2, 1, 0
@@ -139,11 +141,8 @@ def pieces(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def spans_of(profiles: DataFrame) -> dict[str, int]:
-    """Of every profile the largest span among it and all it inherits."""
-    rows = profiles.select("profile_name", "inherits", "max_pattern_span").limit(MAX_PROFILES + 1).collect()
-    if len(rows) > MAX_PROFILES:
-        raise ValueError(f"more than {MAX_PROFILES} profiles")
+def spans_of(rows: list) -> dict[str, int]:
+    """Of every profile (name, inherits, span) the largest span among it and all it inherits."""
     own: dict[str, int] = {}
     parents: dict[str, set] = {}
     for r in rows:
@@ -163,12 +162,27 @@ def spans_of(profiles: DataFrame) -> dict[str, int]:
     return {name: largest(name) for name in own if name is not None}
 
 
+def span_table(profiles: DataFrame) -> DataFrame:
+    """``name, span`` of every profile: the largest span among it and all it inherits."""
+    spark = profiles.sparkSession
+    rows = profiles.select("profile_name", "inherits", "max_pattern_span").limit(MAX_PROFILES + 1).collect()
+    if len(rows) <= MAX_PROFILES:
+        return F.broadcast(spark.createDataFrame(sorted(spans_of(rows).items()) or [("", 0)], "name string, span int"))
+    named = profiles.where("profile_name is not null")
+    spans = cut(named.groupBy(F.col("profile_name").alias("name")).agg(F.coalesce(F.max("max_pattern_span"), F.lit(0)).alias("span")))
+    edges = cut(named.select(F.col("profile_name").alias("name"), F.explode("inherits").alias("parent")).where("parent is not null").distinct())
+    while True:
+        # the largest span goes down one generation at a time; cycles settle, since it only grows
+        handed = edges.join(spans.select(F.col("name").alias("parent"), "span"), "parent").groupBy("name").agg(F.max("span").alias("from_above"))
+        new = cut(spans.join(handed, "name", "left").select("name", F.greatest("span", F.coalesce("from_above", F.lit(0))).alias("span"), (F.coalesce("from_above", F.lit(0)) > F.col("span")).alias("grew")))
+        spans = new.select("name", "span")
+        if new.where("grew").isEmpty():
+            return spans
+
+
 def limits(scans: DataFrame, profiles: DataFrame) -> DataFrame:
     """``scan_id, record_id, size, overlap`` of every scan; a replayed scan once."""
-    spark = scans.sparkSession
-    table = spans_of(profiles)
-    spans = spark.createDataFrame(sorted(table.items()) or [("", 0)], "name string, span int")
-    named = scans.select("scan_id", F.explode_outer("profile_names").alias("name")).join(F.broadcast(spans), "name", "left")
+    named = scans.select("scan_id", F.explode_outer("profile_names").alias("name")).join(span_table(profiles), "name", "left")
     span = named.groupBy("scan_id").agg(F.coalesce(F.max("span"), F.lit(0)).alias("span"))
     one = scans.select("scan_id", "record_id", "chunk_size").groupBy("scan_id", "record_id").agg(F.max("chunk_size").alias("chunk_size"))
     overlap = F.greatest(F.lit(MIN_OVERLAP), F.floor(F.col("span") * 1.25).cast("int"))
