@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark import lexicon as lx
@@ -172,18 +172,6 @@ def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("record_id", "field_id", F.sum(cost).over(w).alias("spent"))
 
 
-@query("""
-SELECT user_id, event_id, sha256(payload || '|' || prev) AS record_hash, prev AS prev_hash FROM (
-  SELECT user_id, event_id, payload, coalesce(lag(sha256(payload)) OVER (PARTITION BY user_id ORDER BY ts, event_id), repeat('0', 64)) AS prev
-  FROM (SELECT user_id, event_id, ts, concat_ws('|', CAST(event_id AS VARCHAR), event_type, CAST(user_id AS VARCHAR)) AS payload FROM events) e) c""")
-def audit_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as audit rows, each linked to the one before it of its user."""
-    df = table(spark, sf, "events").select("user_id", "event_id", "ts", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string")).alias("payload"))
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    df = df.withColumn("prev_hash", F.coalesce(F.lag(F.sha2("payload", 256)).over(w), F.lit("0" * 64)))
-    return df.select("user_id", "event_id", F.sha2(F.concat("payload", F.lit("|"), "prev_hash"), 256).alias("record_hash"), "prev_hash")
-
-
 @query("""
 SELECT field_id, value FROM (SELECT DISTINCT field_id, value FROM extracted_field WHERE NOT is_key AND value IS NOT NULL) f
 WHERE sha256('salt' || value) NOT IN (SELECT sha256('salt' || payment.card_number) FROM sample_pii WHERE payment.card_number IS NOT NULL)""")
@@ -277,36 +265,32 @@ def detectors_missing(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "profile_definition").select("profile_name", missing.alias("missing")).where(F.size("missing") > 0)
 
 
-_GRANTS = (("BUILDING", "read"), ("BUILDING", "author"), ("MACHINERY", "read"), ("AUTOMOBILE", "approve"), ("HOUSEHOLD", "admin"))
-_GRANTS_SQL = ", ".join(f"('{r}', '{c}')" for r, c in _GRANTS)
+_INVARIANTS = ("bytes_total", "verified without sanitized", "created after ingested", "handle missing", "negative chunk size", "threshold outside 0..1", "vector length")
 
 
 @query(f"""
-SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_mktsegment IN (SELECT role FROM (VALUES {_GRANTS_SQL}) g(role, capability) WHERE capability = 'read') GROUP BY c_nationkey""")
-def capability_semi(spark: SparkSession, sf: str) -> DataFrame:
-    """Members whose role grants a capability."""
-    grants = spark.createDataFrame(_GRANTS, "role string, capability string").where("capability = 'read'").select(F.col("role").alias("c_mktsegment"))
-    return table(spark, sf, "customer").join(grants, "c_mktsegment", "left_semi").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""
-SELECT violation, CAST(count(*) AS BIGINT) AS n FROM (
+SELECT k.violation, CAST(count(v.violation) AS BIGINT) AS n FROM (VALUES {", ".join(f"('{k}')" for k in _INVARIANTS)}) k(violation) LEFT JOIN (
   SELECT 'bytes_total' AS violation FROM content_record WHERE bytes_total IS NOT NULL AND bytes_total <> coalesce(strlen(content), 0)
   UNION ALL SELECT 'verified without sanitized' FROM content_record WHERE verified_clean AND NOT is_sanitized
   UNION ALL SELECT 'created after ingested' FROM content_record WHERE created_at > ingested_at
+  UNION ALL SELECT 'handle missing' FROM content_record WHERE coalesce(length(handle), 0) = 0
   UNION ALL SELECT 'negative chunk size' FROM scan_options WHERE chunk_size < 0
-  UNION ALL SELECT 'threshold outside 0..1' FROM scan_options WHERE confidence_threshold NOT BETWEEN 0 AND 1) v GROUP BY violation""")
+  UNION ALL SELECT 'threshold outside 0..1' FROM scan_options WHERE confidence_threshold NOT BETWEEN 0 AND 1
+  UNION ALL SELECT 'vector length' FROM embeddings WHERE len(embedding) <> 64) v USING (violation) GROUP BY k.violation""")
 def record_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that break an invariant, by kind: one pass over each table."""
-    c, s = table(spark, sf, "content_record"), table(spark, sf, "scan_options")
-    check = lambda name, cond: F.when(cond, F.lit(name))
-    of_content = F.array(
-        check("bytes_total", F.col("bytes_total").isNotNull() & (F.col("bytes_total") != F.coalesce(F.octet_length("content"), F.lit(0)))),
-        check("verified without sanitized", F.col("verified_clean") & ~F.col("is_sanitized")), check("created after ingested", F.col("created_at") > F.col("ingested_at")),
+    """How many rows break each invariant, 0 included: one pass over each table."""
+
+    def counted(df: DataFrame, **conditions: Column) -> DataFrame:
+        one = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in conditions.items()])
+        return one.select(F.explode(F.array(*[F.struct(F.lit(k.replace("__", "..").replace("_", " ") if k != "bytes_total" else k).alias("violation"), F.col(k).alias("n")) for k in conditions])).alias("x")).select("x.*")
+
+    c = F.col
+    of_content = counted(
+        table(spark, sf, "content_record"), bytes_total=c("bytes_total").isNotNull() & (c("bytes_total") != F.coalesce(F.octet_length("content"), F.lit(0))), verified_without_sanitized=c("verified_clean") & ~c("is_sanitized"),
+        created_after_ingested=c("created_at") > c("ingested_at"), handle_missing=F.coalesce(F.length("handle"), F.lit(0)) == 0,
     )
-    of_scans = F.array(check("negative chunk size", F.col("chunk_size") < 0), check("threshold outside 0..1", ~F.col("confidence_threshold").between(0, 1)))
-    both = c.select(F.explode(of_content).alias("violation")).unionByName(s.select(F.explode(of_scans).alias("violation")))
-    return both.where("violation is not null").groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+    of_scans = counted(table(spark, sf, "scan_options"), negative_chunk_size=c("chunk_size") < 0, threshold_outside_0__1=~c("confidence_threshold").between(0, 1))
+    return of_content.unionByName(of_scans).unionByName(counted(table(spark, sf, "embeddings"), vector_length=F.size("embedding") != 64))
 
 
 @query("""
@@ -330,17 +314,6 @@ def newest_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy(F.lower("source_identifier").alias("label"), "workspace_id").agg(best.alias("r")).select("r.*")
 
 
-@query("""
-SELECT live, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT user_id, max(ts) > (SELECT max(ts) FROM events) - INTERVAL 12 HOUR AND NOT bool_or(event_type = 'logout' AND ts > (SELECT max(ts) FROM events) - INTERVAL 12 HOUR) AS live FROM events GROUP BY user_id) s GROUP BY live""")
-def live_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Users with a usable session: touched in the last twelve hours of the table and not revoked since."""
-    events = table(spark, sf, "events").select("user_id", "ts", "event_type")
-    since = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz") - F.expr("INTERVAL 12 HOURS")
-    per = events.groupBy("user_id").agg(F.bool_or(F.col("ts") > since).alias("touched"), F.bool_or((F.col("ts") > since) & (F.col("event_type") == "logout")).alias("revoked"))
-    return per.groupBy((F.col("touched") & ~F.col("revoked")).alias("live")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""
 SELECT scan_id, CASE WHEN dry_run THEN 'reported' WHEN destination IS NULL THEN 'needs destination' ELSE 'finished' END AS status, coalesce(requested_action, 'profile') AS asked
 FROM (SELECT scan_id, any_value(dry_run) AS dry_run, any_value(destination) AS destination, any_value(requested_action) AS requested_action FROM scan_options GROUP BY scan_id) s""")
@@ -349,17 +322,3 @@ def scan_status(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "scan_options").select("scan_id", "dry_run", "destination", "requested_action").distinct()
     status = F.when(F.col("dry_run"), "reported").when(F.col("destination").isNull(), "needs destination").otherwise("finished")
     return df.select("scan_id", status.alias("status"), F.coalesce("requested_action", F.lit("profile")).alias("asked"))
-
-
-_CLASSES = (("FILE", "content", "per workspace"), ("TEXT", "content", "per workspace"), ("APPLICATION_LOG", "telemetry", "fixed"), ("AWS_CLOUDWATCH", "telemetry", "fixed"))
-_CLASSES_SQL = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _CLASSES)
-
-
-@query(f"""
-SELECT c.kind, coalesce(k.class, 'unclassified') AS class, coalesce(k.retention, 'none') AS retention, CAST(count(*) AS BIGINT) AS n
-FROM (SELECT DISTINCT record_id, upper(trim(source_type)) AS kind FROM content_record) c LEFT JOIN (VALUES {_CLASSES_SQL}) k(kind, class, retention) USING (kind) GROUP BY ALL""")
-def classification(spark: SparkSession, sf: str) -> DataFrame:
-    """Records by the class of their type; what no class covers is shown as such."""
-    classes = spark.createDataFrame(_CLASSES, "kind string, class string, retention string")
-    per = table(spark, sf, "content_record").select("record_id", F.upper(F.trim("source_type")).alias("kind")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return per.join(F.broadcast(classes), "kind", "left").select("kind", F.coalesce("class", F.lit("unclassified")).alias("class"), F.coalesce("retention", F.lit("none")).alias("retention"), "n")

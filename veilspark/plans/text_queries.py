@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark import lexicon as lx
 from veilspark.functions import text as fx
+from veilspark.operators import injection
 from veilspark.operators import normalize as nz
 from veilspark.plans.registry import query, table, texts
 
@@ -76,9 +77,10 @@ def _breakdown(df: DataFrame, text: str, by: str) -> DataFrame:
     return df.select(by, F.explode(F.filter(counts, lambda x: x["c"] > 0)).alias("x")).groupBy(by, F.col("x.type").alias("type"), F.col("x.severity").alias("severity")).agg(F.sum("x.c").alias("n"))
 
 
-@query(_breakdown_sql("documents", "text", "lang").replace("SELECT lang, type", "SELECT lang, type"))
-def entity_breakdown_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    return _breakdown(texts(spark, sf, "documents").where("text is not null"), "text", "lang")
+@query(_breakdown_sql("(SELECT workspace_id, value FROM extracted_field WHERE value IS NOT NULL)", "value", "workspace_id"))
+def entity_breakdown_by_workspace(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities in the values of all fields, by workspace."""
+    return _breakdown(table(spark, sf, "extracted_field").where("value is not null").select("workspace_id", "value"), "value", "workspace_id")
 
 
 @query(_breakdown_sql("(SELECT upper(trim(source_type)) AS kind, content FROM content_record)", "content", "kind"))
@@ -156,29 +158,39 @@ def role_markers(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).select("record_id", F.regexp_count("content", F.lit(_ROLE)).alias("n")).where("n > 0").distinct()
 
 
-@query()
+_INJECTED = " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(len(regexp_extract_all(content, '{_q(p)}')) AS BIGINT) AS n FROM {RECORDS} r" for k, p, _ in injection.KINDS)
+
+
+@query(f"SELECT kind, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_records FROM ({_INJECTED}) u WHERE n > 0 GROUP BY kind")
 def injection_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences of all instruction-shaped kinds."""
-    from veilspark.operators.injection import injection_counts as counts
-
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("n")) for k, c in counts(F.col("content")).items()])
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("n")) for k, c in injection.injection_counts(F.col("content")).items()])
     df = records(spark, sf).select("record_id", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select("record_id", "x.*").distinct()
-    return df.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_records"))
+    return df.groupBy("kind").agg(F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).alias("n_records"))
 
 
-@query()
-def prompt_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every record as an excerpt that a prompt may hold."""
-    from veilspark.operators.injection import enveloped
+def _replaced_sql(text: str, rules) -> str:
+    for pattern, by in rules:
+        text = f"regexp_replace({text}, '{_q(pattern)}', '{_q(by).replace('$1', chr(92) + '1')}', 'g')"
+    return text
 
-    return records(spark, sf).select("record_id", enveloped(F.col("content"), "fixed").alias("excerpt")).distinct()
 
+_LIMIT = lx.MAX_PROMPT_CHARS
+_CUT = f"CASE WHEN length(content) > {_LIMIT} THEN left(content, {_LIMIT}) || chr(10) || '[... ' || format('{{:,}}', length(content) - {_LIMIT}) || ' more characters omitted]' ELSE content END"
 
-@query()
-def transcript_redact(spark: SparkSession, sf: str) -> DataFrame:
-    from veilspark.operators.injection import transcript
 
-    return records(spark, sf).select("record_id", transcript(F.col("content")).alias("stored")).distinct()
+@query(f"""
+SELECT record_id, md5('<untrusted_data id="fixed" label="excerpt">' || chr(10) || {_replaced_sql(_CUT, injection.NEUTRALISED)} || chr(10) || '</untrusted_data id="fixed">') AS excerpt FROM {RECORDS} r""")
+def prompt_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of every record as an excerpt that a prompt may hold."""
+    return records(spark, sf).select("record_id", F.md5(injection.enveloped(F.col("content"), "fixed")).alias("excerpt")).distinct()
+
+
+@query(f"""
+SELECT record_id, md5({_replaced_sql(f"translate(content, '{''.join(nz.FOLDS)}{lx.INVISIBLE}', '{''.join(nz.FOLDS.values())}')", injection.TRANSCRIPT)}) AS stored FROM {RECORDS} r""")
+def transcript_redact(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of every record as a transcript may keep it."""
+    return records(spark, sf).select("record_id", F.md5(injection.transcript(F.col("content"))).alias("stored")).distinct()
 
 
 @query(f"SELECT record_id, CAST(greatest(1, floor(length(content) / 4)) AS BIGINT) AS tokens, CAST(strlen(content) AS BIGINT) AS n_bytes FROM {RECORDS} r")
