@@ -115,11 +115,21 @@ def test_stored_chains(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / ".ssh").mkdir()
-    for name, data in {"a.txt": b"hello", "sub/b.LOG": b"x", "sub/c.log": b"\xffbad", "d.exe": b"no", ".ssh/e.txt": b"no", "id_rsa.txt": b"no"}.items():
+    for name, data in {"a.txt": b"hello", "sub/b.LOG": b"x", "sub/c.log": b"\xffbad", "d.exe": b"no", ".ssh/e.txt": b"no", "id_rsa.txt": b"yes"}.items():
         (tmp_path / name).write_bytes(data)
-    got = {r.path: (r.content, r.replaced) for r in files.read_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("hello", 0), "sub/c.log": ("�bad", 1)}
-    paths = spark.createDataFrame([("../x.txt",), ("/x.txt",), ("a/.git/x.txt",), ("a/x.pem",), ("a/x.bin",), ("a/x.csv",)], "p string")
+    (tmp_path / "bad.json").write_bytes(b'{"a": ')
+    (tmp_path / "good.json").write_bytes(b'{"a": {"b": 1}}')
+    (tmp_path / "credentials.json").write_bytes(b"{}")
+    got = {r.path: r for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert {p: (r.content, r.replaced) for p, r in got.items() if r.refusal is None} == {"id_rsa.txt": ("yes", 0), "a.txt": ("hello", 0), "sub/c.log": ("�bad", 1), "bad.json": ('{"a": ', 0), "good.json": ("a: a\na.b: b\na.b: 1", 0)}
+    assert got["credentials.json"].refusal == "sensitive name"
+    assert got["credentials.json"].content is None and ".ssh/e.txt" not in got and got["bad.json"].warning and got["good.json"].warning is None
+    assert [r.path for r in files.list_sources(spark, str(tmp_path)).collect()] == ["a.txt", "bad.json", "good.json", "id_rsa.txt", "sub/c.log"]
+    long = spark.createDataFrame([("x" * 100_001,), ("ok",), (None,)], "content string")
+    assert [(r.content, r.refusal) for r in files.pasted(long).collect()] == [(None, "longer than 100000 characters"), ("ok", None), (None, "no text")]
+    inside = spark.createDataFrame([("/data/x.txt",), ("/data-old/x.txt",), ("file:///data/a/b.txt",), ("/data/../etc/x.txt",)], "p string").select(files.contained(F.col("p"), ["/data"]).alias("ok"))
+    assert [r.ok for r in inside.collect()] == [True, False, True, False]
+    paths = spark.createDataFrame([("../x.txt",), ("/x.txt",), ("a/.aws/x.txt",), ("a/x.pem",), ("a/x.bin",), ("a/x.csv",)], "p string")
     assert [r[0] for r in paths.select(files.path_problem(F.col("p"))).collect()] == ["traversal", "absolute", "sensitive folder", "sensitive name", "extension", None]
     assert files.object_path("/r", "w", "kind", "id") == "/r/w/kind/id"
     with pytest.raises(ValueError):
@@ -142,3 +152,48 @@ def test_stream(spark, tmp_path):
 
 def test_explain():
     assert api.explain_profile("DEFAULT_PII")["max_pattern_span"] == 8192
+
+
+def test_objects(spark, tmp_path):
+    store = files.Objects(spark, str(tmp_path / "objects"))
+    row = lambda w, k, i, p: (w, k, i, bytearray(p))
+    frame = lambda *rows: spark.createDataFrame(list(rows), files.Objects.SCHEMA)
+    assert store.read("w").count() == 0
+    store.put(frame(row("w", "original", "1", b"a"), row("w", "original", "2", b"b"), row("w", "sanitized", "1", b"c"), row("v", "original", "1", b"d")))
+    store.put(frame(row("w", "original", "1", b"A")))
+    assert {(r.kind, r.id, bytes(r.payload)) for r in store.read("w").collect()} == {("original", "1", b"A"), ("original", "2", b"b"), ("sanitized", "1", b"c")}
+    assert store.delete("w", "original", ["1", "9"]) == 1 and store.delete("w", "original", ["1"]) == 0
+    assert store.delete("w", "original", ["2"]) == 1 and store.read("w", "original").count() == 0
+    assert store.delete_prefix("w") and store.read("w").count() == 0 and store.read("v").count() == 1
+    with pytest.raises(ValueError):
+        store.put(frame(row("w", "other", "1", b"a")))
+    assert files.object_key("w", "chunk", "7") == "w/chunk/7"
+
+
+def test_audit_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("s", n, datetime(2025, 1, 1 + n), "scan") for n in range(4)], "chain string, seq int, at timestamp, event string")
+    files.append_audit(rows, str(tmp_path / "audit"), "at", "chain", ["seq"])
+    back = files.read_audit(spark, str(tmp_path / "audit"), "chain", ["seq"])
+    assert back.count() == 4 and audit.broken_links(back, "chain", "seq").count() == 0
+    assert audit.broken_links(back.withColumn("payload", F.when(F.col("seq") == 1, "x").otherwise(F.col("payload"))), "chain", "seq").count() == 1
+    with pytest.raises(ValueError, match="b.value"):
+        files.append_audit(rows.withColumn("b", F.array(F.struct(F.lit(1).alias("value")))), str(tmp_path / "no"), "at", "chain", ["seq"])
+
+
+def test_public_surface(spark, tmp_path):
+    df = spark.createDataFrame([("1", "password=hunter2secret"), ("2", None)], "k string, t string")
+    assert [(r.key, r.type, r.preview) for r in api.detect(df, "k", "t").collect()] == [("1", "PASSWORD", "[PASSWORD]")]
+    p = api.Preferences()
+    p.set("profiles", "BASE_SECURITY, AI_SAAS")
+    p.set("dry_run", "yes")
+    p.set("threshold", "0.5")
+    assert p.options(threshold=0.7, destination="S3") == api.Options(profiles=("BASE_SECURITY", "AI_SAAS"), dry_run=True, threshold=0.7, destination="S3")
+    for name, value in (("nope", 1), ("profiles", "NOPE"), ("destination", "MOON"), ("threshold", 2)):
+        with pytest.raises(ValueError):
+            p.set(name, value)
+    parts = api.health(spark, roots=[str(tmp_path)])
+    assert api.overall(parts) == "unavailable" and api.blockers(parts) == ["named entities", "audit"]
+    assert api.overall(api.health(spark, ner=lambda t: [], roots=[str(tmp_path)], audit=str(tmp_path))) == "ok"
+    kinds = api.catalog()
+    assert kinds[0]["severity"] == "HIGH" and kinds[-1]["severity"] == "LOW" and {"type": "JWT", "severity": "HIGH", "detector": "custom_security", "profiles": ["BASE_SECURITY"]} in kinds
+    assert "PERSON" in api.refusal_text("NEEDS_DESTINATION", ["PERSON"]) and api.refusal_text(None) == ""

@@ -8,10 +8,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 GENESIS = "0" * 64
 #: Names that a record must not have at any depth: they could carry what was found.
-FORBIDDEN = frozenset("text content value raw original entity_text matched_text excerpt snippet prompt completion password secret token".split())
+FORBIDDEN = frozenset({"text", "content", "raw_content", "value", "matched_text", "entity_text", "sanitized", "excerpt", "source_identifier"})
 
 
 def canonical(record: dict) -> str:
@@ -27,6 +28,21 @@ def forbidden(record, path: str = "") -> list[str]:
     return []
 
 
+def forbidden_columns(schema: StructType, path: str = "") -> list[str]:
+    """Paths of forbidden names in a schema, at any depth."""
+    out = []
+    for f in schema.fields:
+        here, of = f"{path}{f.name}", f.dataType
+        if f.name.lower() in FORBIDDEN:
+            out.append(here)
+            continue
+        while isinstance(of, ArrayType):
+            of = of.elementType
+        if isinstance(of, StructType):
+            out += forbidden_columns(of, f"{here}.")
+    return out
+
+
 def chain(records: Iterable[dict], last: str = GENESIS) -> list[dict]:
     """Append records to a chain: each names the hash of the one before."""
     out = []

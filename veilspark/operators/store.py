@@ -348,7 +348,7 @@ def data_statement() -> str:
     """What is kept, where, and what ends it, in words (from :data:`CATEGORIES`)."""
     lines = []
     for kind in dict.fromkeys(c for c, _, _ in CATEGORIES.values()):
-        rows = [f"  {name}: {store.replace('_', ' ')}, {ends.replace('_', ' ')}" for name, (of, store, ends) in CATEGORIES.items() if of == kind]
+        rows = [f"  {name.replace('_', ' ')}: {store.replace('_', ' ')}, {ends.replace('_', ' ')}" for name, (of, store, ends) in CATEGORIES.items() if of == kind]
         lines += [kind.replace("_", " "), *rows]
     return "\n".join(lines)
 

@@ -20,14 +20,16 @@ def tuned(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor the context's own folder is set (tests on one machine) a
-    temporary folder is made.
+    Where neither that setting nor the context's own folder is set, a temporary folder is made on a local
+    master (tests); on a cluster a folder of one machine would be lost with it, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilspark-"))
     return sc.getCheckpointDir()
 
@@ -38,11 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of more bytes is never moved to spread it: the scan's own splits are enough then.
+SPREAD_BYTES = 256 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table of fewer files than there are cores over all of them, for work that costs far more
-    than moving a row. Tables of more files, any large one, are left as they lie; nothing is shuffled then.
-    Column pruning and filters still reach the scan.
+    """Spread a small table of few files over all cores, for work that costs far more than moving a row.
+
+    Few means fewer files than cores, small at most :data:`SPREAD_BYTES` on disk, so what is moved has a
+    fixed bound on any cluster. Column pruning and filters still reach the scan.
     """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(2 * cores) if 0 < files < cores else df
+    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
