@@ -50,7 +50,7 @@ def spread(df: DataFrame) -> DataFrame:
     Few means fewer files than cores, small at most :data:`SPREAD_BYTES` on disk, so what is moved has a
     fixed bound on any cluster. Column pruning and filters still reach the scan.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
