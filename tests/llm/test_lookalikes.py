@@ -73,8 +73,29 @@ def test_sliced_vocabulary(spark, monkeypatch):
     df = spark.createDataFrame([("the cable",), ("thе cablе",), ("thе саble",), (None,)], "text string")
     known = lk.vocabulary(df)
     assert {r[0] for r in known.collect()} == {"the", "cable"}
-    got = {r.canonical for r in lk.consistent(df, "text", known).collect()}
-    assert got == {"the cable", None}
+    rows = df.selectExpr("'x' as src", "monotonically_increasing_id() as key", "text")
+    assert [r.canonical for r in lk.consistent(rows).collect()] == ["the cable"] * 2
+
+
+def test_repairs_do_not_see_each_other(spark, monkeypatch):
+    """All repairs of a text are told from the text as it stands, whichever way the vocabulary is looked up."""
+    texts = ["thе саble С", "the cable", "Отчёт Oтчёт с", "С", "plain С x", "aсe оf basе", "ace of base"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string").selectExpr("'x' as src", "key", "text")
+    want = {i: lk.canonical(t, {r[0] for r in lk.vocabulary(rows.select("text")).collect()}) for i, t in enumerate(texts) if not t.isascii()}
+    for most in (500_000, 0):
+        monkeypatch.setattr(lk, "MAX_BROADCAST", most)
+        assert {r.key: r.canonical for r in lk.consistent(rows).collect()} == want
+
+
+def test_classes(spark):
+    content = spark.createDataFrame(CONTENT, "record_id bigint, workspace_id string, source_identifier string, content string")
+    fields = spark.createDataFrame(FIELDS, "field_id bigint, record_id bigint, value string, form string")
+    got = lk.look_alike_classes(content, fields).collect()
+    of = {(r.src, r.key): (r.class_id, r.n_texts, r.n_rows) for r in got}
+    assert len(got) == len(of) and {k for k in of if k[0] == "content"} == {("content", i) for i in (1, 2, 3, 4, 11)}
+    assert len({v for k, v in of.items() if k[0] == "content"}) == 1 and of["content", 1][1:] == (4, 5)
+    pairs = {tuple(r) for r in lk.look_alike_pairs(content, fields).collect()}
+    assert all(of[src, a][0] == of[src, b][0] for src, a, b in pairs) and {(s, k) for s, *ks in pairs for k in ks} == set(of)
 
 
 def test_empty(spark):

@@ -8,11 +8,17 @@ result exists in the corpus vocabulary: it stands somewhere in the corpus in pla
 two different spellings of the corpus lead to it. Accents, case, superscripts, fractions and ligature
 signs are visible differences and stay.
 
-The vocabulary test covers all texts: repairs wanted (few: only non-ASCII texts have any) are counted
-by their spellings; those with one spelling are looked for in every text, against a broadcast table
-while that is at most :data:`MAX_BROADCAST` repairs, else by a semi-join of the exploded tokens.
+Every non-ASCII text is read once (:func:`marked`) and written with the repairs it wants. The vocabulary test
+covers all texts: wanted repairs are counted by their spellings; those with one spelling are looked for in
+every text, against a broadcast table while that is at most :data:`MAX_BROADCAST` repairs, else by a
+semi-join of the exploded tokens. Which repairs a text may have is then joined to it, all at once: a repair
+never changes what another one sees. ASCII texts are their own form and never go to Python.
 
-Defined results: NULL stays NULL, an empty text stays empty. Identical stored texts are no case.
+Texts that look the same form a class (:func:`classes`: one row per text with its class and the class's
+size); pairs are made of a class's different texts and then expanded to their rows.
+
+Defined results: NULL stays NULL, an empty text stays empty. Identical stored texts are no case; rows of a
+NULL group are in no class.
 """
 
 from __future__ import annotations
@@ -22,7 +28,6 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,21 +88,17 @@ def canonical(text: str | None, known) -> str | None:
     if not text or text.isascii():
         return text
     text = fd.plain(text)
-    parts, at = [], 0
-    for start, end, _, new in repairs(text):
-        if new in known:
-            parts += [text[at:start], new]
-            at = end
-    # a repaired letter may compose with an accent that its twin could not take
-    return unicodedata.normalize("NFC", "".join([*parts, text[at:]])) if parts else text
+    return repaired(text, [(start, end, new) for start, end, _, new in repairs(text) if new in known])
 
 
-def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[str, str]] = set()
-    for batch in batches:
-        new = {(r[3], r[2]) for text in batch.column(0).to_pylist() if text for r in repairs(fd.plain(text))} - seen
-        seen |= new
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.string()), pa.array([b for _, b in new], pa.string())], names=["repair", "spelling"])
+def repaired(plain: str, accepted: list[tuple[int, int, str]]) -> str:
+    """A plain text with repairs put in, in order."""
+    parts, at = [], 0
+    for start, end, new in accepted:
+        parts += [plain[at:start], new]
+        at = end
+    # a repaired letter may compose with an accent that its twin could not take
+    return unicodedata.normalize("NFC", "".join([*parts, plain[at:]])) if parts else plain
 
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +108,48 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.string())], names=["repair"])
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """The repairs (one column ``repair``) wanted by some text that exist in the corpus ``texts`` (one string column)."""
-    (column,) = texts.columns
-    wanted = texts.where(F.col(column).rlike(NON_ASCII)).mapInArrow(_wanted, "repair string, spelling string")
+_MARKED = pa.schema([
+    ("src", pa.string()), ("key", pa.int64()), ("stored", pa.binary()), ("plain", pa.string()), ("form", pa.binary()),
+    ("wanted", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("spelling", pa.string()), ("repair", pa.string())]))),
+])
+_MARKED_DDL = "src string, key bigint, stored binary, plain string, form binary, wanted array<struct<start:int,end:int,spelling:string,repair:string>>"
+
+
+def _mark(whole: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for src, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                plain = fd.plain(text)
+                wanted = repairs(plain)
+                rows.append({
+                    "src": src, "key": key, "stored": _digest(text), "plain": plain if wanted or whole else None, "form": None if wanted else _digest(plain),
+                    "wanted": [{"start": a, "end": b, "spelling": old, "repair": new} for a, b, old, new in wanted],
+                })
+            yield pa.RecordBatch.from_pylist(rows, schema=_MARKED)
+
+    return run
+
+
+def marked(texts: DataFrame, whole: bool = False) -> DataFrame:
+    """The non-ASCII rows of ``texts`` (src, key, text) with the repairs each wants, written once; a text that wants
+    none has its form already, and its plain text only if ``whole``."""
+    odd = texts.where(F.col("text").rlike(NON_ASCII)).select("src", F.col("key").cast("bigint"), "text")
+    return cut(odd.mapInArrow(_mark(whole), _MARKED_DDL).dropDuplicates(["src", "key", "stored"]))
+
+
+def vocabulary(texts: DataFrame, odd: DataFrame | None = None) -> DataFrame:
+    """The repairs (one column ``repair``) wanted by some text that exist in the corpus: the column ``text`` of ``texts``."""
+    if odd is None:
+        odd = marked(texts.select(F.lit("").alias("src"), F.monotonically_increasing_id().alias("key"), F.col(texts.columns[0]).alias("text")))
+        texts = texts.select(F.col(texts.columns[0]).alias("text"))
+    wanted = odd.select(F.explode("wanted").alias("w")).select("w.repair", "w.spelling")
     counted = cut(wanted.groupBy("repair").agg(F.count_distinct("spelling").alias("n")))
     many = counted.where("n >= 2").select("repair")
     single = counted.where("n < 2").select("repair")
+    all_texts = texts.where(F.col("text").isNotNull()).select("text")
     if single.count() <= MAX_BROADCAST:
-        spark = texts.sparkSession
-        table = spark.sparkContext.broadcast(frozenset(r.repair for r in single.toLocalIterator()))
+        table = texts.sparkSession.sparkContext.broadcast(frozenset(r.repair for r in single.toLocalIterator()))
 
         def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = set(table.value)
@@ -130,9 +163,9 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                     left -= got
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.string())], names=["repair"])
 
-        seen = texts.where(F.col(column).isNotNull()).mapInArrow(look, "repair string")
+        seen = all_texts.mapInArrow(look, "repair string")
     else:
-        seen = texts.where(F.col(column).isNotNull()).mapInArrow(_tokens, "repair string").join(single, "repair", "left_semi")
+        seen = all_texts.mapInArrow(_tokens, "repair string").join(single, "repair", "left_semi")
     return many.unionByName(seen).distinct()
 
 
@@ -141,64 +174,94 @@ def _digest(text: str) -> bytes:
 
 
 def digest_of(value: Column) -> Column:
-    """The digest that :func:`consistent` makes, of a stored text as it is."""
+    """The digest that :func:`marked` makes, of a stored text as it is."""
     return F.unhex(F.substring(F.sha2(value, 256), 1, 32))
 
 
-def _repairer(known: DataFrame, slices: int, k: int, digest: bool):
-    """A UDF that makes the repairs of one slice of the vocabulary."""
-    part = known if slices == 1 else known.where(F.pmod(F.xxhash64("repair"), F.lit(slices)) == k)
-    table = known.sparkSession.sparkContext.broadcast(frozenset(r.repair for r in part.toLocalIterator()))
+def formed(odd: DataFrame, known: DataFrame, whole: bool = False) -> DataFrame:
+    """``src, key, stored, form`` of marked rows, with the ``canonical`` text if ``whole``: the repairs that exist are
+    joined to the rows that want them, and made together."""
+    keys = ["src", "key", "stored"]
+    asked = odd.where(F.size("wanted") > 0).select(*keys, F.explode("wanted").alias("w")).select(*keys, "w.start", "w.end", "w.repair")
+    granted = asked.join(known, "repair").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "end", "repair"))).alias("granted"))
+    every = odd.select(*keys, "plain", "form").join(granted, keys, "left")
 
-    @F.pandas_udf("binary" if digest else "string")
-    def run(texts: pd.Series) -> pd.Series:
-        accepted = table.value
-        got = [canonical(t, accepted) for t in texts]
-        return pd.Series([None if t is None else _digest(t) for t in got] if digest else got, dtype=object)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms, texts = [], []
+            for plain, form, got in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
+                text = plain if form is not None or not got else repaired(plain, [(g["start"], g["end"], g["repair"]) for g in got])
+                forms.append(form if form is not None else _digest(text))
+                texts.append(text if whole else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(forms, pa.binary()), pa.array(texts, pa.string())], names=["src", "key", "stored", "form", "canonical"])
+
+    out = every.mapInArrow(run, "src string, key bigint, stored binary, form binary, canonical string")
+    return out if whole else out.drop("canonical")
 
-    return run
 
+def consistent(texts: DataFrame) -> DataFrame:
+    """``src, key, canonical`` of every row of ``texts`` (src, key, text) that is not ASCII: its consistent form."""
+    odd = marked(texts, whole=True)
+    return formed(odd, cut(vocabulary(texts, odd)), whole=True).select("src", "key", "stored", "canonical")
 
-def consistent(df: DataFrame, column: str, known: DataFrame, out: str = "canonical", digest: bool = False) -> DataFrame:
-    """Add the consistent form of ``column``, or only its 16-byte digest. ``known`` is from :func:`vocabulary`.
 
-    Repairs of tokens do not depend on each other, so a vocabulary of more than MAX_BROADCAST rows is
-    applied slice by slice. ASCII texts are their own form and never go to Python.
+def members(rows: DataFrame) -> DataFrame:
+    """``src, g1, g2, form, stored, key`` of all texts whose form some text of their group has that is not ASCII.
+
+    ``rows`` has src, g1, g2, key and text; only within a group are texts compared. Of the ASCII texts
+    just those are kept whose digest is the form of another one.
     """
-    slices = max(1, -(-known.count() // MAX_BROADCAST))
-    done: Column = F.col(column)
-    for k in range(slices):
-        done = _repairer(known, slices, k, digest and k == slices - 1)(done)
-    value = F.col(column)
-    return df.withColumn(out, F.when(value.rlike(NON_ASCII), done).otherwise(digest_of(value) if digest else value))
+    rows = rows.where(F.col("text").isNotNull() & F.col("g1").isNotNull() & F.col("g2").isNotNull()).withColumn("key", F.col("key").cast("bigint"))
+    texts = rows.select("src", "key", "text")
+    odd = marked(texts)
+    forms = formed(odd, cut(vocabulary(texts, odd)))
+    group = ["src", "g1", "g2"]
+    value = F.col("text")
+    places = rows.where(value.rlike(NON_ASCII)).select(*group, "key", digest_of(value).alias("stored")).distinct()
+    odd_rows = cut(places.join(forms, ["src", "key", "stored"]).select(*group, "form", "stored", "key"))
+    plain = rows.where(~value.rlike(NON_ASCII)).select(*group, digest_of(value).alias("form"), digest_of(value).alias("stored"), "key")
+    plain = plain.join(odd_rows.select(*group, "form").distinct(), [*group, "form"], "left_semi").distinct()
+    return cut(odd_rows.unionByName(plain))
+
+
+_AT = ["src", "g1", "g2", "form"]
 
 
-def same_looking(df: DataFrame, group: list[str], key: str, text: str, known: DataFrame) -> DataFrame:
-    """Pairs (key_a < key_b) of a group whose stored texts differ but have one consistent form.
+def classes(found: DataFrame) -> DataFrame:
+    """``src, key, class_id, n_texts, n_rows`` of every row in a class of at least two different texts; counts are
+    taken by text first, so a text of many copies is one row when they are."""
+    texts = found.groupBy(*_AT, "stored").agg(F.count(F.lit(1)).alias("n"))
+    sizes = texts.groupBy(*_AT).agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_rows")).where("n_texts > 1")
+    name = F.substring(F.sha2(F.concat_ws("|", "src", "g1", "g2", F.hex("form")), 256), 1, 32)
+    return found.join(sizes, _AT).select("src", "key", name.alias("class_id"), "n_texts", "n_rows")
 
-    At least one text of a pair is not ASCII. So only those texts go to Python; of the others just those
-    are kept whose digest is the form of one. Different stored texts of a class are paired first, then
-    expanded to their rows: a class of many copies makes no other pairs than those of the result.
+
+def pairs(found: DataFrame) -> DataFrame:
+    """``src, key_a, key_b`` (key_a < key_b) of different stored texts of one class.
+
+    Different texts of a class are paired first, then expanded to their rows: a class of many copies makes
+    no other pairs than those of the result.
     """
-    at, value = [*group, "form"], F.col(text)
-    df = df.select(*group, key, text).where(value.isNotNull())
-    odd = consistent(df.where(value.rlike(NON_ASCII)), text, known, "form", digest=True)
-    odd = cut(odd.select(*at, digest_of(value).alias("stored"), key).distinct())
-    plain = df.where(~value.rlike(NON_ASCII)).select(*group, digest_of(value).alias("form"), digest_of(value).alias("stored"), key)
-    plain = plain.join(odd.select(*at).distinct(), at, "left_semi").distinct()
-    members = cut(odd.unionByName(plain))
-    texts = members.select(*at, "stored").distinct()
-    pairs = texts.withColumnRenamed("stored", "stored_a").join(texts.withColumnRenamed("stored", "stored_b"), at).where("stored_a < stored_b")
-    left = members.withColumnRenamed("stored", "stored_a").withColumnRenamed(key, "_a")
-    right = members.withColumnRenamed("stored", "stored_b").withColumnRenamed(key, "_b")
-    both = pairs.join(left, [*at, "stored_a"]).join(right, [*at, "stored_b"]).where("_a <> _b")
-    return both.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
+    texts = found.select(*_AT, "stored").distinct()
+    both = texts.withColumnRenamed("stored", "stored_a").join(texts.withColumnRenamed("stored", "stored_b"), _AT).where("stored_a < stored_b")
+    left = found.withColumnRenamed("stored", "stored_a").withColumnRenamed("key", "_a")
+    right = found.withColumnRenamed("stored", "stored_b").withColumnRenamed("key", "_b")
+    out = both.join(left, [*_AT, "stored_a"]).join(right, [*_AT, "stored_b"]).where("_a <> _b")
+    return out.select("src", F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
+
+
+def grouped(content: DataFrame, fields: DataFrame) -> DataFrame:
+    """The rows of both tables that are compared: fields of a record, records of a source of a workspace."""
+    of_content = content.select(F.lit("content").alias("src"), F.col("workspace_id").alias("g1"), F.col("source_identifier").alias("g2"), F.col("record_id").alias("key"), F.col("content").alias("text"))
+    of_fields = fields.select(F.lit("field").alias("src"), F.col("record_id").cast("string").alias("g1"), F.lit("").alias("g2"), F.col("field_id").alias("key"), F.col("value").alias("text"))
+    return of_content.unionByName(of_fields)
 
 
 def look_alike_pairs(content: DataFrame, fields: DataFrame) -> DataFrame:
     """All pairs of fields of a record, and of records of a source, that look the same but differ."""
-    texts = content.select(F.col("content").alias("text")).unionByName(fields.select(F.col("value").alias("text")))
-    known = cut(vocabulary(texts))
-    of_fields = same_looking(fields, ["record_id"], "field_id", "value", known)
-    of_content = same_looking(content, ["workspace_id", "source_identifier"], "record_id", "content", known)
-    return of_fields.select(F.lit("field").alias("src"), "key_a", "key_b").unionByName(of_content.select(F.lit("content").alias("src"), "key_a", "key_b"))
+    return pairs(members(grouped(content, fields)))
+
+
+def look_alike_classes(content: DataFrame, fields: DataFrame) -> DataFrame:
+    """The same as classes: one row per row of the tables that looks like a different one."""
+    return classes(members(grouped(content, fields)))

@@ -29,16 +29,19 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, sf, "content_record"), table(spark, sf, "extracted_field"))
 
 
+@query
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row that looks like a different one, with its class and the class's size."""
+    return lookalikes.look_alike_classes(table(spark, sf, "content_record"), table(spark, sf, "extracted_field"))
+
+
 @query
 def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """The consistent form of every text that is not in it yet."""
-    content, fields = table(spark, sf, "content_record"), table(spark, sf, "extracted_field")
-    texts = content.select(F.lit("content").alias("src"), F.col("record_id").alias("row_key"), F.col("content").alias("text")).unionByName(
-        fields.select(F.lit("field"), "field_id", "value").toDF("src", "row_key", "text")
-    )
-    known = lookalikes.vocabulary(texts.select("text"))
-    done = lookalikes.consistent(texts.where(F.col("text").rlike(lookalikes.NON_ASCII)), "text", known)
-    return done.where("canonical <> text").dropDuplicates(["src", "row_key"]).select("src", "row_key", "canonical")
+    rows = lookalikes.grouped(table(spark, sf, "content_record"), table(spark, sf, "extracted_field"))
+    done = lookalikes.consistent(rows.select("src", "key", "text"))
+    changed = done.where(F.col("stored") != lookalikes.digest_of(F.col("canonical")))
+    return changed.select("src", F.col("key").alias("row_key"), "canonical").dropDuplicates(["src", "row_key"])
 
 
 @query
