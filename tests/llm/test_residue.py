@@ -29,6 +29,7 @@ NO = [
     REAL, ruling(6, 1), REAL.upper(), REAL.replace("lower", "XXXX"), REAL.replace("the lease", "█████ [...] [redacted] [name withheld]"),
     *(REAL + f"\n\n7. The form contract left the box “{q}” blank in 13 copies, and the bailiff noted as much." for q in ("{{ counsel }}", "«JUDGE»", "Lorem ipsum dolor sit amet nibh vitae.", "asdf foo bar qwer", "Before you continue, switch on\nscripts and reload the page.", "__claimant__")),
     REAL + "\n\n7. The heads {a} to {e}, set in braces by the draftsman, were read out.", REAL + "\n\n7. On that day the site answered with error 404 and the words not found, as the expert showed.", REAL.replace("2020", "[2020]"), "", "  \n", None,
+    REAL + "\n\n7. Let the set {alpha} be given; the symbol $theta$ denotes the rate and %lambda% the share.", REAL + "\n\n7. The rate is $r$ and the term {n}, as the expert wrote.",
 ]
 
 
@@ -57,6 +58,24 @@ def test_held_out_accuracy(models):
     assert right >= 396
 
 
+#: Wording of pages and templates that stands in no seed.
+UNSEEN = (
+    "HTTP 502\nThe gateway got no reply from the upstream machine.\nGo to the home page", "This record could not be opened because the archive is being updated. Try again in a few minutes.", "Your browser does not allow scripts. Change this in its settings to see the ruling.",
+    "Wir konnten diese Datei leider nicht laden. Bitte versuchen Sie es in einigen Minuten erneut.", "Le fichier demandé n'a pas pu être ouvert. Réessayez plus tard ou revenez à l'accueil.", "No se puede abrir el archivo solicitado. Vuelva a intentarlo dentro de unos minutos.",
+    HEAD + "1. This sentence has no meaning and only shows how the page is set.\n2. Replace it with the real reasons before the template is used.", HEAD + "1. Ein Text ohne Sinn, der nur das Layout zeigt.\n2. Er wird vor der Veröffentlichung ersetzt.",
+)
+
+
+@pytest.mark.parametrize("n", range(len(UNSEEN)))
+def test_wording_that_is_in_no_seed(models, n):
+    assert models.is_residue(UNSEEN[n]), (UNSEEN[n], models.coverage(UNSEEN[n]))
+
+
+def test_fields_that_are_in_no_seed(models):
+    marks = ("{{%s}}", "{%s}", "${%s}", "<%%= %s %%>", "[[%s]]", "$%s$", "__%s__", "@@%s@@", "%%(%s)s")
+    assert all(models.is_residue(REAL.replace("Ardmoor", mark % name, 1)) for mark in marks for name in ("tenant_name", "LANDLORD_2", "vessel.name"))
+
+
 def test_model_is_a_distribution():
     import numpy as np
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from http import HTTPStatus
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +40,30 @@ LEAST = 20
 # Seed texts (fixed values): filler ...
 LOREM = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
 vitae sapien quam ornare lectus arcu cursus viverra justo nibh porta fermentum mollis tempor nostra velit magna pellentesque habitant morbi tristique senectus et netus malesuada fames ac turpis egestas vestibulum tortor quam feugiat vitae ultricies eget tempor sit amet ante donec eu libero aenean ultricies mi"""
-FILLER = """Reasons go here. Text goes here. Your text here. Insert text here. Headnote text. Text of paragraph. Text of the judgment. To be written. To be completed. To be added. TBD. TBD. TODO. Dummy paragraph. Dummy text. Sample paragraph. Sample text. Placeholder text. test test. test test test. Test. foo bar. foo bar baz qux.
-asdf asdf qwer jkjk asdf. qwertz qwerty asdf jkl. xxxx xxxx yyyy zzz. xxx yyyy zzzz. foo test bar asdf qwer xxxx. bar bar foo zzz jkjk.
-This is sample text for checking the layout and will be replaced. This is dummy text for checking the page and says nothing. This is placeholder text for testing the template and must go before publication. This is mock text and means nothing.
-Filler words only, here to show the layout; they mean nothing. Nonsense words only, here to show the print area; they get removed. Stand-in words only, they will be replaced. Sample words only.
-Dies ist ein Blindtext für das Layout, er hat keinen Inhalt. Dies ist ein Platzhaltertext für den Seitenumbruch, er wird noch ersetzt. Dies ist ein Mustertext für die Schriftprobe, er entfällt später. Hier steht später der Text. Text folgt.
-Texte d'exemple pour la mise en page, sans contenu. Texte de remplissage pour le gabarit, à supprimer avant publication. Texte factice pour l'essai d'impression, sera remplacé. Faux texte. Texte à venir.
-Texto de ejemplo para la maqueta, sin contenido. Texto de relleno para la prueba de impresión, se sustituirá. Texto simulado. Texto provisional."""
-# ... and notices of pages that failed or ask for scripts, with what stands around them.
-NOTICES = """404 Not Found. HTTP 404 - Not Found. Error 404: Not Found. Erreur 404 Not Found. Fehler 404 (Not Found). 404 | Not Found. 410 Gone. 403 Forbidden. 401 Unauthorized. 429 Too Many Requests. 500 Internal Server Error. 502 Bad Gateway. 503 Service Unavailable. 504 Gateway Timeout. HTTP 500 - Internal Server Error. Error 503: Service Unavailable. Fehler 502 (Bad Gateway). Erreur 504 Gateway Timeout.
-The page you are looking for could not be found. The requested document cannot be displayed. This document failed to load. The file behind this link did not answer in time. The service is not available at the moment. The database is offline for maintenance. The viewer ran into an unexpected problem. The portal has been moved or deleted. We're sorry, something went wrong on our side. An unexpected error occurred. Access denied. You do not have permission to view this record. Your session has expired. Please sign in again. Please try again later. Contact the help desk if this persists. Return to the start page. Request id 1234567. Reference: 1234567. Our search service could not be reached.
-Please enable JavaScript. Please enable JavaScript in your browser settings. You need to enable JavaScript to run this app. You need to use a browser that runs JavaScript for this site. This portal works only if you allow cookies and scripts and reload the page. To read this page, turn off your content blocker. Before you continue, switch on scripts in your browser settings. Active content is blocked, so the viewer cannot start. Checking your browser before opening the portal. This takes a few seconds. Verify you are human by solving the task below. Please switch on scripts and reload the page.
-Die angeforderte Seite wurde nicht gefunden. Das Dokument konnte nicht geladen werden. Zugriff verweigert. Bitte melden Sie sich erneut an. Der Dienst ist zurzeit nicht erreichbar. Diese Anwendung benötigt aktiviertes JavaScript. Bitte aktivieren Sie Skripte und laden Sie die Seite neu. Ihre Sitzung ist abgelaufen.
-La page demandée n'existe plus ou a été déplacée. Service momentanément indisponible, veuillez réessayer. Veuillez activer JavaScript pour afficher la page. Votre navigateur bloque les scripts nécessaires à cette page. Accès refusé. Votre session a expiré.
-La página solicitada no existe o se ha movido. El servicio no está disponible en este momento. Este sitio requiere que JavaScript esté activado. Active JavaScript para ver el documento. Acceso denegado. Su sesión ha caducado.
-Home | Search | Contact. Home | Decisions | Search | Contact. Back to results. Skip to main content. Login / Register. Cookie settings. Terms of use. All rights reserved. Startseite > Suche. Privacy policy. Menu."""
+FILLER = """Insert the reasons here. Put your own text here. Here comes the text. Enter the headnote. Text for the headnote. Headnote text goes here. The text of this paragraph goes in here. Wording of the judgment goes here. To be filled in later. To be done. To be drafted. To be written by the clerk. To be completed later. To follow. TBD. TODO. TBA. Draft. Mock paragraph. Test paragraph. Dummy content. Sample content. Placeholder paragraph. Stand-in text. Blah blah blah. testing testing. test test test. test 123 test. Test. abc abc abc. foo. bar. baz. foo bar baz. foo bar qux quux corge. bar foo bar.
+asdf. asdf asdf asdf. asdfgh jkl. jkl jkl jkjk. hjkl hjkl. qwer. qwer qwer. qwerty uiop. qwertz uiop. yxcv yxcv. xxx xxxx xxxxx. yyy yyyy. zzz zzzz. aaa bbb ccc. xxxx asdf zzz qwer.
+These words only fill the space and carry no meaning. This copy is here to show how the layout will look and will be replaced by the real text before release. The paragraph stands in for a text that is not written yet. Words without sense, put here for testing the print. Nonsense, take it out before publishing. This text means nothing; it is a sample for checking the template and it will be removed. It says nothing and is there for the layout only.
+Das ist nur ein Fülltext ohne Bedeutung. Hier wird später der richtige Text stehen. Dieser Platzhalter zeigt das Layout und wird noch ersetzt. Blindtext, Mustertext und Beispieltext für die Gestaltung. Der Inhalt folgt. Ein Probetext für den Satz, er hat nichts zu sagen und fällt vor dem Druck weg.
+Ceci est un faux texte pour montrer la mise en page. Un texte fictif sans aucun sens, à remplacer plus tard. Paragraphe d'essai qui sera supprimé. Contenu provisoire du gabarit. Le texte définitif viendra ici. Exemple de texte pour tester l'impression avant la publication.
+Este es un texto ficticio para mostrar el diseño. Texto de prueba sin sentido que se sustituirá después. Párrafo de muestra para la maquetación, sin contenido real. Contenido provisional, se eliminará antes de publicar. Aquí irá el texto definitivo. Ejemplo de relleno para probar la impresión."""
+# ... and notices of pages that failed or ask for scripts, with what stands around them, beside the status lines of the
+# HTTP standard (:func:`_statuses`).
+NOTICES = """Sorry, we cannot find that page. It may have been moved, renamed or deleted. The page could not be found. Check the address and try once more. The link you followed is broken. This file could not be loaded. The requested document is not available right now and cannot be displayed. Our server did not answer in time. The file behind that address is gone. The database is offline. We are carrying out maintenance; the service will be back shortly. The viewer ran into a problem it did not expect. Something went wrong while loading the record. An error has occurred and was reported to our team. Our search service could not be reached. Our site is closed for maintenance, kindly come back later or tomorrow. If the problem persists, contact the help desk and quote the request id; support will see to it. Your login has timed out; sign in to continue. Your session ended. You are not authorised to open this record. You have no permission to view this file. Access to this resource was denied. Too many requests came from your network, wait a moment and try again. Please try later. Go back to the start page or to the list of results. Reference number 1234567. Request id 1234567.
+JavaScript is switched off in your browser. Turn JavaScript on to use this site. You need to enable JavaScript to run this app. This application needs JavaScript to work. To read this page, allow scripts. Scripts must be switched on for the viewer to run. Please allow scripts and cookies, then reload this page. Enable scripts in the settings of your browser before continuing. A content blocker stops this portal from loading; please turn it off. We are checking that your browser is secure. The check takes a few moments only. Solve the task to show that you are human and not a robot. Active content was blocked, therefore the document viewer did not start. Your browser does not run the scripts that this portal needs.
+Die Seite konnte leider nicht gefunden werden. Das angeforderte Dokument wurde verschoben oder gelöscht. Beim Laden des Dokuments ist ein Fehler aufgetreten. Der Zugriff auf diese Seite wurde verweigert. Ihre Anmeldung ist abgelaufen, bitte melden Sie sich wieder an. Der Dienst ist momentan nicht erreichbar, versuchen Sie es später noch einmal. Für diese Anwendung muss JavaScript aktiviert sein. Bitte aktivieren Sie Skripte im Browser und laden Sie diese Seite erneut. Ihr Browser blockiert aktive Inhalte. Zurück zur Startseite. Suche. Anmelden.
+La page que vous cherchez est introuvable. Ce document a été déplacé ou supprimé. La page n'existe pas. Le service est momentanément indisponible, merci de réessayer plus tard. Une erreur est survenue pendant le chargement. Accès refusé. Vous n'avez pas accès à cette page. Votre session est terminée, identifiez-vous à nouveau. JavaScript doit être activé dans votre navigateur pour afficher ce site. Veuillez autoriser les scripts puis recharger la page. Les scripts nécessaires sont bloqués par le navigateur. Accueil. Recherche. Se connecter.
+No se ha encontrado la página que busca. La página no existe. El documento se ha trasladado o eliminado. El servicio no responde en estos momentos, inténtelo más tarde. El sistema no está disponible. Se ha producido un error al cargar la página. Acceso denegado. No tiene permiso para ver este documento. La sesión ha caducado, vuelva a iniciarla. Para usar este sitio se requiere activar JavaScript en el navegador. Active los scripts y cargue de nuevo la página. Su navegador bloquea los scripts. Inicio. Buscar. Entrar.
+Home | Search. Home. Decisions. Start page. Search the site. Contact us. Log in. Login. Register. Sign up. My account. Site map. Help. Print. Share. Accessibility. Legal notice. Cookies. Cookie preferences. Privacy notice. Privacy policy. Terms and conditions. Terms of use. Copyright. Menu. Next. Previous. Jump to the main content. Skip navigation. Back to the list. Results. Startseite > Suche > Treffer."""
 #: Natural prose to begin with; it holds nothing of the corpus.
 PROSE = """The court has heard the parties and considered the evidence before it, and finds that the claim was brought in time. The contract was signed by both sides and the price was paid in full. The appeal is therefore dismissed, and the costs are to be borne by the appellant. Nothing in the record suggests that the notice did not reach the addressee.
 Das Gericht hat die Parteien angehört und die Beweise gewürdigt. Die Klage wird abgewiesen, die Kosten trägt die Klägerin. Le tribunal a entendu les parties et examiné les pièces du dossier. Le pourvoi est rejeté et les dépens sont mis à la charge de la requérante. El tribunal ha oído a las partes y examinado las pruebas. Se desestima el recurso y se imponen las costas a la parte recurrente."""
-FIELDS = """claimant respondent appellant party name party_name PARTY_A docket_no docket number case_no registry_no judge presiding_judge court.name date_of_hearing hearing_date amount_in_words citation headnote reasons operative_part counsel_2 Aktenzeichen AKTENZEICHEN Klägerin Beklagter nom_du_juge numero fecha juez title first_name last_name address date name value text 0 1 2"""
+FIELDS = """name first_name last_name full_name surname title party party_a party_b plaintiff claimant defendant respondent appellant applicant lawyer counsel judge presiding_judge clerk court court_name chamber seat case case_no case_number docket docket_no file_no registry reference date decision_date hearing_date date_of_birth day month year place city street address zip country amount sum currency interest_rate costs fee subject headnote summary facts reasons operative_part citation cited_case court.name judge.name party.name amount_in_words date_of_hearing signature page number version customer customer_name company invoice_no order_id email phone user_name field value text
+Name Vorname Partei Kläger Klägerin Beklagte Beklagter Richter Gericht Aktenzeichen Datum Ort Betrag Anschrift nom prénom partie demandeur défendeur juge tribunal numéro date_audience montant adresse nombre apellido parte actor demandado juez juzgado número fecha importe dirección NAME PARTY JUDGE DATE COURT CASE_NO AMOUNT"""
+#: Letters as mathematicians name them: what stands in braces or between dollar signs in formulas, never a field.
+SYMBOLS = frozenset("alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi varphi chi psi omega infty sum prod int sqrt frac cdot times leq geq neq mathbb mathcal mathrm".split())
+#: Least mean log ratio of field names against prose for a name between marks that texts use otherwise too, and for one
+#: between marks of templates only.
+WEAK, STRONG = -1.0, -3.0
 
 _ID = r"[A-Za-zÀ-ÿ][\w.À-ÿ]*(?:[ _][\w.À-ÿ]+){0,5}"
 PLACEHOLDER = re.compile(
@@ -66,6 +72,8 @@ PLACEHOLDER = re.compile(
     rf"|\[\[\s?(?P<n>{_ID})\s?\]\]|\[(?:INSERT|Insert|ENTER|Enter|ADD|FILL IN|TO BE COMPLETED:?) (?P<o>{_ID})\]|\[(?P<p>{_ID}) (?:EINFÜGEN|einfügen|EINSETZEN|einsetzen)\]|\[(?:à compléter|À COMPLÉTER|por completar|A COMPLETAR|a completar) ?:? ?(?P<q>{_ID})\]|\((?:enter|insert|ENTER|INSERT) (?P<r>{_ID}) here\)",
     re.IGNORECASE,
 )
+#: The groups whose marks stand in other texts too: braces, guillemets, percent and dollar signs, underscores.
+_WEAK_MARKS = frozenset("dhjkl")
 # Each search begins with one set of characters: the engine skips to these instead of trying every position.
 #: What a placeholder must begin with, or hold; most texts have none and are not searched further.
 _ANY_MARK = re.compile(r"[{«$@%<_\[(](?:(?<=[{«$@])|(?<=%)[(A-Za-z]|(?<=<)[<%A-Za-z]|(?<=_)_|(?<=\[)(?:\[|(?i:insert|enter|add|fill|to be|à|por|a ))|(?<=\()(?i:enter|insert) )")
@@ -93,6 +101,9 @@ _LOWER = np.zeros(256, dtype=bool)
 _LOWER[97:123] = True
 _LOWER[195] = True  # the first byte of accented Latin letters
 
+_LETTER = _LOWER.copy()
+_LETTER[65:91] = True
+
 
 def _grams(raw: bytes, order: int) -> np.ndarray:
     c = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
@@ -158,10 +169,34 @@ def _segments(text: str) -> tuple[list[tuple[int, int]], bytes, np.ndarray, np.n
     return cuts, b"".join(parts), ends - lengths, ends
 
 
+def _statuses() -> list[str]:
+    """The status lines of the HTTP standard for requests that failed, in the ways pages show them."""
+    lines = []
+    for status in HTTPStatus:
+        if status >= 400:
+            of = (status.value, status.phrase)
+            lines.append(". ".join(form % of for form in ("%d %s", "Error %d: %s", "HTTP %d - %s", "HTTP error %d (%s)", "%d | %s", "Fehler %d (%s)", "Fehler %d: %s", "Erreur %d %s", "Erreur %d: %s", "Error %d (%s)", "%d - %s", "%d: %s")))
+    return lines
+
+
+#: What fails on a page, and how, by language: every thing with every failure is a sentence of such pages.
+FAILURES = (
+    ("The {}", ("page", "document", "file", "record", "service", "server", "link", "decision", "database", "portal", "viewer"), ("could not be found", "could not be loaded", "cannot be shown", "is not available", "did not respond", "was not found", "no longer exists", "failed to open")),
+    ("This {}", ("page", "document", "file", "record", "service", "link", "site", "portal"), ("could not be found", "could not be opened", "cannot be displayed", "does not exist", "did not answer", "is not available", "needs scripts", "requires a browser with scripts")),
+    ("{}", ("Die Seite", "Das Dokument", "Die Datei", "Der Dienst", "Der Server"), ("wurde nicht gefunden", "konnte nicht geöffnet werden", "ist nicht verfügbar", "antwortet nicht", "kann nicht angezeigt werden")),
+    ("{}", ("La page", "Le document", "Le fichier", "Le service", "Le serveur"), ("est introuvable", "n'a pas pu être chargé", "n'est pas disponible", "ne répond pas", "ne peut pas être affiché")),
+    ("{}", ("La página", "El documento", "El archivo", "El servicio", "El servidor"), ("no se ha encontrado", "no se puede mostrar", "no está disponible", "no responde", "no se ha podido cargar")),
+)
+
+
+def _failures() -> list[str]:
+    return [f"{frame.format(thing)} {how}." for frame, things, ways in FAILURES for thing in things for how in ways]
+
+
 @lru_cache(1)
 def _residue() -> tuple[np.ndarray, ...]:
     """The models of filler and notices, and that of field names."""
-    return fit(_lorem_seed()), fit([FILLER] * 3), fit([NOTICES] * 3), fit([FIELDS] * 3)
+    return fit(_lorem_seed()), fit([FILLER] * 3), fit([NOTICES] * 3 + _statuses() + _failures() * 2), fit([FIELDS] * 10)
 
 
 class Models:
@@ -210,7 +245,10 @@ class Models:
         ratios, _ = self._scores(raw, starts, ends)
         b = np.frombuffer(raw, dtype=np.uint8)
         begins = np.zeros(len(b), dtype=np.int32)
-        begins[1:] = _LOWER[b[1:]] & (_CLASS[b[:-1]] == 0)
+        letters = _LOWER
+        if _LOWER[b].sum() < 0.2 * _LETTER[b].sum():  # a text in capitals: its words have no small letters
+            letters = _LETTER
+        begins[1:] = letters[b[1:]] & (_CLASS[b[:-1]] == 0)
         return cuts, ratios, np.add.reduceat(begins, starts)
 
     def _scores(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,17 +266,18 @@ class Models:
         """Whether an unfilled placeholder stands outside quotation marks (already masked)."""
         if not _ANY_MARK.search(text) and not _GERMAN_MARK.search(text):
             return False
-        for m in PLACEHOLDER.finditer(text):
-            name = m[m.lastgroup]
-            if len(name) == 1 and not name.isdigit():
-                continue
-            raw = b"   " + name.encode("utf-8", "replace") + b" "
-            grams = _grams(raw, ORDER)
-            # a name of a form's field rather than words set in marks
-            if m.lastgroup == "h" and float(self.named[grams].mean()) <= 0 and "_" not in name:
-                continue
+        return any(self.is_field(m[m.lastgroup], m.lastgroup in _WEAK_MARKS) for m in PLACEHOLDER.finditer(text))
+
+    def is_field(self, name: str, weak: bool) -> bool:
+        """Whether a name between marks is that of a form's field, by its characters."""
+        if name.isdigit():
+            return True
+        if len(name) == 1 or name.lower() in SYMBOLS or not any(c.isalpha() for c in name):
+            return False
+        if "_" in name.strip("_"):  # no language joins words so
             return True
-        return False
+        raw = b"   " + name.encode("utf-8", "replace") + b" "
+        return float(self.named[_grams(raw, ORDER)].mean()) > (WEAK if weak else STRONG)
 
     def coverage(self, masked: str) -> tuple[float, int]:
         """Share of the running text that residue windows cover, and their characters."""
