@@ -78,3 +78,12 @@ def test_property_names_are_inspected(spark):
     fields = spark.createDataFrame(rows, "field_id bigint, path string, value string, is_key boolean")
     content = spark.createDataFrame([], "record_id bigint, content string")
     assert sorted(tuple(r) for r in pii.found(content, fields, (("Anna",), ())).collect()) == [("field", 1, "EMAIL", 0), ("field", 2, "PERSON", 0)]
+
+
+def test_learned_names_have_support(spark, monkeypatch):
+    rows = [(f"{name} Vetch{n}", "user.name", False) for name, times in (("Priya", 5), ("Tomas", 3), ("Once", 2)) for n in range(times)] + [(None, "name", False), ("Ada Lund", None, None), ("name", "name", True)]
+    fields = spark.createDataFrame(rows, "value string, path string, is_key boolean")
+    assert pii.learned(fields) == ("Priya", "Tomas")
+    monkeypatch.setattr(pii, "SUPPORT", 0.45)
+    assert pii.learned(fields) == ("Priya",) and pii.learned(fields.union(fields).union(fields)) == ("Priya",)
+    assert pii.learned(fields.where("false")) == ()

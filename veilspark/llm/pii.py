@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.folding import fold
+from veilspark.session import cut
 
 _U, _L = "A-ZÀ-ÖØ-ÞŁŚŻČŠŽ", "a-zß-öø-ÿāăąćčďđęěğłńňőřśşšťůűźżž"
 _WORD = rf"[{_U}][{_L}]+(?:['’][{_U}]?[{_L}]+)?"
@@ -352,21 +353,26 @@ def lexicon(df: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(sorted(r.token for r in rows if r.kind == "given")), tuple(sorted(r.token for r in rows if r.kind == "town"))
 
 
+#: A name is learned if it stands in this share of all name fields: so there are never more than 1 / SUPPORT of them,
+#: whatever the table, and the same text is read alike in a table and in a thousand copies of it.
+SUPPORT = 5e-6
+
+
 def learned(fields: DataFrame, least: int = 3) -> tuple[str, ...]:
-    """Given names that stand at least ``least`` times in the name fields of all records.
+    """Given names that stand at least ``least`` times, and in a share SUPPORT, in the name fields of all records.
 
-    A count over the whole table, made in the JVM; the result is as long as the list of given names in
-    use and refused beyond MAX_LEXICON.
+    A count over the whole table, made in the JVM; of the counts only those with that support reach the driver.
     """
     value = F.trim(F.regexp_replace("value", "[\u00a0\u2007\u202f]", " "))
     first = F.when(value.contains(", "), F.regexp_extract(value, r", (\p{Lu}[\p{L}-]+)", 1)).otherwise(F.regexp_extract(value, r"^(\p{Lu}[\p{L}-]+) \p{L}", 1))
-    names = (
+    counts = (
         fields.where("not coalesce(is_key, false)").where(F.col("path").rlike(r"(^|[._\]])name$"))
         .select(F.explode(F.split(first, "-")).alias("n")).select(F.initcap(F.lower("n")).alias("n")).where(F.length("n") > 1)
-        .groupBy("n").count().where(F.col("count") >= least).limit(MAX_LEXICON + 1).collect()
+        .groupBy("n").count()
     )
-    if len(names) > MAX_LEXICON:
-        raise ValueError(f"more than {MAX_LEXICON} given names")
+    counts = cut(counts)
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    names = counts.where(F.col("count") >= max(least, total * SUPPORT)).select("n").collect()
     return tuple(sorted(r.n for r in names if r.n.lower() not in NOT_NAMES))
 
 
@@ -377,9 +383,9 @@ def known_names(lexicon_table: DataFrame, fields: DataFrame) -> tuple[tuple[str,
     return tuple(sorted({*given, *(n for n in learned(fields) if n.lower() not in places)})), towns
 
 
-def _found(names: tuple) -> object:
+def _found(shared) -> object:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = finder(*names)
+        look = finder(*shared.value)
         for batch in batches:
             keys, types, starts = [], [], []
             for key, text, path in zip(*(c.to_pylist() for c in batch.columns)):
@@ -399,10 +405,11 @@ def value_path() -> Column:
 
 def found(content: DataFrame, fields: DataFrame, names: tuple) -> DataFrame:
     """Every case of ``content`` and of the values and property names of ``fields``; replayed rows count once."""
+    shared = content.sparkSession.sparkContext.broadcast(names)
 
     def cases(df: DataFrame, src: str) -> DataFrame:
         df = df.where((F.col("text") != "") & F.col("text").isNotNull())
-        out = df.select("row_key", "text", "path").mapInArrow(_found(names), "row_key bigint, pii_type string, start_pos int")
+        out = df.select("row_key", "text", "path").mapInArrow(_found(shared), "row_key bigint, pii_type string, start_pos int")
         return out.distinct().select(F.lit(src).alias("src"), "row_key", "pii_type", "start_pos")
 
     of_content = content.select(F.col("record_id").alias("row_key"), F.col("content").alias("text"), F.lit("").alias("path"))
@@ -413,9 +420,11 @@ def found(content: DataFrame, fields: DataFrame, names: tuple) -> DataFrame:
 def scrubbed(df: DataFrame, text: str, names: tuple, path: str | None = None, out: str = "scrubbed") -> DataFrame:
     """Add ``text`` with its personal information replaced by typed placeholders."""
 
+    shared = df.sparkSession.sparkContext.broadcast(names)
+
     @F.pandas_udf("string")
     def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        look = finder(*names)
+        look = finder(*shared.value)
         return pd.Series([scrub(t, look, p or "") for t, p in zip(texts, paths)], dtype=object)
 
     return df.withColumn(out, run(F.col(text), F.col(path) if path else F.lit("")))
