@@ -48,6 +48,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float =
                 score[score < least] = -np.inf
                 s = np.concatenate([best_s, score], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(own, score.shape)], axis=1)
+                if s.shape[1] > 4 * k:
+                    # only what reaches the k-th best score, ties included, is sorted
+                    least_kept = np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]
+                    width_kept = int((s >= least_kept).sum(axis=1).max())
+                    part = np.argpartition(-s, min(width_kept, s.shape[1] - 1), axis=1)[:, :width_kept]
+                    s, i = np.take_along_axis(s, part, 1), np.take_along_axis(i, part, 1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             ok = np.isfinite(best_s)
@@ -66,3 +72,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float =
         return spark.createDataFrame([], f"query_id bigint, {key} bigint, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def search(vectors: DataFrame, queries: DataFrame, model: str, version: str, workspace: str | None = None, k: int = 10, least: float = -1.0) -> DataFrame:
+    """:func:`nearest` among the vectors of one model and version, of one workspace where given.
+
+    Vectors of different models cannot be compared: a query of another model, or of another length than the
+    model's vectors, is refused.
+    """
+    same = (F.col("embedding_model") == model) & (F.col("embedding_model_version") == version)
+    if queries.where(~F.coalesce(same, F.lit(False))).limit(1).count():
+        raise ValueError(f"a query is not of {model} {version}")
+    own = vectors.where(same if workspace is None else same & (F.col("workspace_id") == workspace)).select(F.col("chunk_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    asked = queries.select(F.col("chunk_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    lengths = own.unionByName(asked).where("embedding is not null").select(F.size("embedding").alias("n")).distinct().limit(2).collect()
+    if len(lengths) > 1:
+        raise ValueError("vectors of different lengths")
+    return nearest(own, asked, k, least)

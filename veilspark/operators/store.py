@@ -357,3 +357,81 @@ def classify(category: str) -> tuple[str, str, str]:
     if category not in CATEGORIES:
         raise KeyError(f"{category} is not classified; nothing of it may be stored")
     return CATEGORIES[category]
+
+
+# --- contents, conversations, schemas -----------------------------------------------------------------------------
+
+
+def put_contents(contents: DataFrame) -> DataFrame:
+    """``contents`` (workspace_id, label, content, ...) with a handle each: opaque, and another one in another workspace."""
+    digest = F.sha2(F.concat_ws("|", "workspace_id", F.coalesce(F.col("label"), F.lit("")), F.coalesce(F.col("content"), F.lit(""))), 256)
+    return contents.withColumn("handle", F.concat(F.lit("cnt-"), F.substring(digest, 1, 20))).withColumn("bytes_total", F.octet_length("content").cast("bigint"))
+
+
+def conversation_window(turns: DataFrame, conversation: str, order: list[str], role: str, text: str, human_turns: int = 12) -> DataFrame:
+    """What of each conversation a model sees: all system rows, and the rows from the twelfth last human turn on.
+
+    Everything before the last human turn is redacted as a transcript; that turn and what follows it is not.
+    """
+    from veilspark.operators.injection import transcript
+
+    back = Window.partitionBy(conversation).orderBy(*[F.desc(c) for c in order])
+    human = F.col(role) == "user"
+    # human turns after this row, and this one: 0 behind the last one, 1 in it
+    after = F.sum(human.cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    kept = turns.withColumn("_n", after).where((F.col("_n") <= human_turns) | (F.col(role) == "system"))
+    current = (F.col("_n") == 0) | ((F.col("_n") == 1) & human)
+    return kept.withColumn(text, F.when(current, F.col(text)).otherwise(transcript(F.col(text)))).drop("_n")
+
+
+#: The store's tables: what a table must have to be read as one of them.
+SCHEMA_VERSION = 2
+SCHEMAS = {
+    "workspace": "id string, name string, created_at timestamp",
+    "app_user": "id string, email string, password_verifier string, created_at timestamp, disabled boolean",
+    "membership": "id string, workspace_id string, user_id string, role string, created_at timestamp",
+    "retention_policy": "id string, workspace_id string, category string, retention_days int, updated_at timestamp",
+    "experiment": "id string, workspace_id string, lab string, name string, purpose string, configuration string, created_at timestamp, created_by string",
+    "prompt_template_version": "id string, workspace_id string, template_id string, version int, body string, variables array<string>, created_at timestamp",
+    "price_table": "version string, effective_from timestamp, entries string, created_at timestamp",
+    "run": "id string, workspace_id string, experiment_id string, status string, completion_reason string, started_at timestamp, finished_at timestamp, total_input_tokens bigint, total_output_tokens bigint, total_cost_micros bigint, token_counts_are_estimated boolean",
+    "document": "id string, workspace_id string, label string, media_type string, byte_size bigint, sha256 string, payload_ref string, created_at timestamp",
+    "chunk": "id string, workspace_id string, document_id string, sequence int, start_offset int, end_offset int, token_count int, strategy string, text_ref string",
+    "embedding": "id string, workspace_id string, chunk_id string, document_id string, embedding_model string, embedding_model_version string, dimensions int, vector array<double>, created_at timestamp",
+    "trace_event": "id string, workspace_id string, run_id string, sequence int, event_type string, occurred_at timestamp, payload string, redaction_count int",
+    "tool_invocation": "id string, workspace_id string, run_id string, sequence int, tool_name string, risk_level string, status string, started_at timestamp, finished_at timestamp, requires_approval boolean",
+    "approval": "id string, workspace_id string, tool_invocation_id string, approver_user_id string, decision string, decided_at timestamp, requested_parameters string, executed_parameters string",
+    "user_session": "id string, user_id string, token_sha256 string, created_at timestamp, expires_at timestamp, last_seen_at timestamp, revoked_at timestamp",
+}
+
+
+def schema_drift(df: DataFrame, name: str) -> list[str]:
+    """Where a table differs from the schema of its name: columns missing, of another type, or not known."""
+    from pyspark.sql.types import StructType
+
+    want = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(SCHEMAS[name]).fields}
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    missing = [f"{c} is missing" for c in want if c not in have]
+    other = [f"{c} is {have[c]}, not {want[c]}" for c in want if c in have and have[c] != want[c]]
+    return missing + other + [f"{c} is not known" for c in have if c not in want]
+
+
+def create_tables(spark, database: str) -> list[str]:
+    """Make the store's tables in a database of the catalog where they are not there yet; those there must not differ."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    made = []
+    for name, ddl in SCHEMAS.items():
+        if spark.catalog.tableExists(f"{database}.{name}"):
+            if drift := schema_drift(spark.table(f"{database}.{name}"), name):
+                raise ValueError(f"{name}: {'; '.join(drift)}")
+            continue
+        spark.sql(f"CREATE TABLE {database}.{name} ({ddl}) USING parquet TBLPROPERTIES ('schema.version' = '{SCHEMA_VERSION}')")
+        made.append(name)
+    return made
+
+
+def truncate_all(spark, database: str) -> None:
+    """Empty the store's tables, and nothing else of the database."""
+    for t in spark.catalog.listTables(database):
+        if t.name in SCHEMAS:
+            spark.sql(f"TRUNCATE TABLE {database}.{t.name}")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from veilspark.operators import store
 from veilspark.plans.registry import query, table
+from veilspark.plans.text_queries import transcript_sql
+from veilspark.session import tuned
 
 ROLES = ("reader", "author", "approver", "admin")
 NOW = "2026-09-01 00:00:00"
@@ -295,3 +297,15 @@ def resolved_references(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "content_record").groupBy("record_id").agg(F.first("workspace_id").alias("workspace_id"), F.first("source_identifier").alias("label"), F.upper(F.trim(F.first("source_type"))).alias("kind"), F.first("created_at").alias("at"))
     asked = table(spark, sf, "workspace").select(F.col("workspace_id").alias("ref_id"), "workspace_id", F.lit("log").alias("said"), F.lit("FILE").alias("kind_hint"))
     return store.resolve_reference(c, asked)
+
+
+@query(f"""
+WITH f AS (SELECT record_id, field_id, any_value(seq) AS seq, any_value(value) AS value, CASE WHEN any_value(is_key) THEN 'user' WHEN any_value(path) LIKE '%id' THEN 'system' ELSE 'assistant' END AS role FROM extracted_field GROUP BY record_id, field_id),
+t AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY seq DESC, field_id DESC ROWS UNBOUNDED PRECEDING) AS n FROM f)
+SELECT record_id, field_id, role, CASE WHEN n = 0 OR (n = 1 AND role = 'user') THEN value ELSE {transcript_sql("value")} END AS value FROM t WHERE n <= 12 OR role = 'system'""")
+def conversation_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of a record as the turns of a conversation: what of it a model sees."""
+    f = table(tuned(spark), sf, "extracted_field").groupBy("record_id", "field_id").agg(F.first("seq").alias("seq"), F.first("value").alias("value"), F.first("is_key").alias("is_key"), F.first("path").alias("path"))
+    role = F.when(F.col("is_key"), "user").when(F.col("path").like("%id"), "system").otherwise("assistant")
+    turns = f.select("record_id", "field_id", "seq", "value", role.alias("role"))
+    return store.conversation_window(turns, "record_id", ["seq", "field_id"], "role", "value").select("record_id", "field_id", "role", "value")

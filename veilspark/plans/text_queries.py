@@ -186,8 +186,11 @@ def prompt_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).select("record_id", F.md5(injection.enveloped(F.col("content"), "fixed")).alias("excerpt")).distinct()
 
 
-@query(f"""
-SELECT record_id, md5({_replaced_sql(f"translate(content, '{''.join(nz.FOLDS)}{lx.INVISIBLE}', '{''.join(nz.FOLDS.values())}')", injection.TRANSCRIPT)}) AS stored FROM {RECORDS} r""")
+def transcript_sql(text: str) -> str:
+    return _replaced_sql(f"translate({text}, '{''.join(nz.FOLDS)}{lx.INVISIBLE}', '{''.join(nz.FOLDS.values())}')", injection.TRANSCRIPT)
+
+
+@query(f"SELECT record_id, md5({transcript_sql('content')}) AS stored FROM {RECORDS} r")
 def transcript_redact(spark: SparkSession, sf: str) -> DataFrame:
     """The digest of every record as a transcript may keep it."""
     return records(spark, sf).select("record_id", F.md5(injection.transcript(F.col("content"))).alias("stored")).distinct()
