@@ -145,3 +145,12 @@ def test_tables_grow_with_the_words():
     assert typer.codes(ws).size == typer.hashes(ws).size == 20_002 and typer.codes(ws)[-1] == lk.NUMBER and typer.codes(ws)[-2] > lk.UNIT
     typer.clear()
     assert typer.hashes(ws)[5] == lk._hash("w5x")
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    typer = typer_of(ITEM)
+    texts = [lk.words(t) for t in (ITEM, "", "Northgate", OTHER, "2350", "crowns and Vetch Lundmoor", "Vetch sold 418 crowns to Holm", ITEM[:60])]
+    of, *all_ = typer.windows_of(texts)
+    for k, ws in enumerate(texts):
+        for whole, own in zip(all_, typer.windows(ws)):
+            assert whole[of == k].tolist() == own.tolist()

@@ -46,6 +46,8 @@ MAX_VOCABULARY = 20_000_000
 #: Window keys sent to the tasks as they are (8 bytes each); of more, a bit set of :data:`BITS` bits at most is sent.
 MAX_KEYS = 8_000_000
 BITS = 1 << 30
+#: Words of texts that are hashed together.
+AT_ONCE = 100_000
 #: Words of a chain that may be missing among RUN of the item's words: single words changed or dropped.
 SPARE = 5
 #: Diagonals on either side of a met window that a chain of RUN words may reach.
@@ -158,32 +160,43 @@ class Typer:
 
     def windows(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of every window: hash of its template, hash of its slots, place of its first word, number of its template words."""
-        if len(ws) < WINDOW:
-            return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-        numbers = self.numbers(ws)
+        return self.windows_of([ws])[1:]
+
+    def windows_of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of many texts at once, with the number of their text first; none reaches over a text's end."""
+        lengths = np.array([len(ws) for ws in texts], dtype=np.int64)
+        numbers = self.numbers([w for ws in texts for w in ws])
+        none = np.zeros(0, np.int64)
+        if len(numbers) < WINDOW:
+            return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        text = np.repeat(np.arange(len(texts)), lengths)
+        together = text[1:] == text[:-1]
         codes = self.code_of[numbers]
         values = np.where(codes <= NAME, self.hash_of[numbers], np.uint64(0))
         # a unit is one behind a number only
         unit = self.unit_of[numbers]
-        unit[0], unit[1:] = 0, np.where(codes[:-1] == NUMBER, unit[1:], 0)
+        unit[0], unit[1:] = 0, np.where((codes[:-1] == NUMBER) & together, unit[1:], 0)
         codes = np.where(unit > 0, np.uint64(UNIT), codes)
         values = np.where(unit > 0, unit, values)
         named = codes == NAME
         keep = np.ones(len(codes), dtype=bool)
-        keep[1:] = ~(named[1:] & named[:-1])
+        keep[1:] = ~(named[1:] & named[:-1] & together)
         places = np.nonzero(keep)[0]
         # a run of names is known by its last word
         ends = np.append(places[1:], len(codes)) - 1
         tokens, held = codes[places], np.where(codes[places] == NAME, values[ends], values[places])
         n = len(tokens) - WINDOW + 1
         if n <= 0:
-            return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+            return none, none.astype(np.uint64), none.astype(np.uint64), none, none
         template, slots, solid = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
         for k in range(WINDOW):
             template = _mixed(template, tokens[k : k + n])
             slots = _mixed(slots, held[k : k + n])
             solid += tokens[k : k + n] > UNIT
-        return template, slots, places[:n], solid
+        of = text[places]
+        within = np.nonzero(of[:n] == of[WINDOW - 1 :])[0]
+        of, begins = of[within], np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        return of, template[within], slots[within], places[within] - begins[of], solid[within]
 
 
 def _mixed(h: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -353,14 +366,23 @@ def found(documents: DataFrame, items: DataFrame) -> DataFrame:
         typer, keys = Typer(words_of.value), known.value
         for batch in batches:
             ids, texts, hits = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = words(text)
-                template, slots, places, solid = typer.windows(ws)
-                met = np.nonzero((solid >= 2) & keys.among(_key(template, slots)))[0] if len(template) else ()
-                if len(met):
-                    ids.append(doc)
-                    texts.append(" ".join(ws))
-                    hits.append([{"template": a, "slots": b, "at": c} for a, b, c in zip(_signed(template[met]).tolist(), _signed(slots[met]).tolist(), places[met].tolist())])
+            held: list[tuple[int, list[str]]] = []
+            waiting = 0
+            for n, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), 1):
+                held.append((doc, words(text)))
+                waiting += len(held[-1][1])
+                if waiting < AT_ONCE and n < batch.num_rows:
+                    continue
+                of, template, slots, places, solid = typer.windows_of([ws for _, ws in held])
+                met = np.nonzero((solid >= 2) & keys.among(_key(template, slots)))[0]
+                found_in: dict[int, list] = {}
+                for k, a, b, c in zip(of[met].tolist(), _signed(template[met]).tolist(), _signed(slots[met]).tolist(), places[met].tolist()):
+                    found_in.setdefault(k, []).append({"template": a, "slots": b, "at": c})
+                for k, got in found_in.items():
+                    ids.append(held[k][0])
+                    texts.append(" ".join(held[k][1]))
+                    hits.append(got)
+                held, waiting = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(hits, _HITS)], names=["doc_id", "words", "hits"])
 
     texts = documents.where("text is not null and text <> ''").select(F.col("doc_id").cast("bigint"), "text")
