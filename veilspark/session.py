@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a compressed table in the shared folder, for as long as it is read more than once; removed after."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: A table of more bytes is never moved to spread it: the scan's own splits are enough then.
 SPREAD_BYTES = 256 * 1024 * 1024
 
