@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.session import written
+
 ORDER = 4
 #: Fits of the prose model; each leaves out what is residue under the one before.
 FITS = 2
@@ -309,21 +311,28 @@ def fitted(documents: DataFrame) -> Models:
     # a digit is a digit to the models: pages that differ in a number only are one text
     texts = documents.where("text <> ''").select(F.regexp_replace("text", "[1-9]", "0").alias("text")).distinct()
     models = Models()
-    for _ in range(FITS):
-        current = documents.sparkSession.sparkContext.broadcast(models)
-
-        def run(batches: Iterable[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
-            counts = current.value.prose_counts(t for batch in batches for t in batch.column(0).to_pylist())
-            (grams,) = counts.nonzero()
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int32()), pa.array(counts[grams], pa.int64())], names=["gram", "n"])
-
-        sums = texts.mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros(32**ORDER, dtype=np.int64)
-        counts[sums.column("gram").to_numpy()] = sums.column("n").to_numpy()
-        models.learn(counts)
+    with written(texts) as once:
+        for _ in range(FITS):
+            models.learn(_counted(once, models))
     return models
 
 
+def _counted(texts: DataFrame, models: Models) -> np.ndarray:
+    """The gram counts of all windows of ``texts`` that do not read like residue under these models."""
+    current = texts.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = current.value.prose_counts(t for batch in batches for t in batch.column(0).to_pylist())
+        (grams,) = counts.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int32()), pa.array(counts[grams], pa.int64())], names=["gram", "n"])
+
+    sums = texts.mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(32**ORDER, dtype=np.int64)
+    counts[sums.column("gram").to_numpy()] = sums.column("n").to_numpy()
+    current.unpersist()
+    return counts
+
+
 def found(documents: DataFrame) -> DataFrame:
     """``doc_id`` of every document to exclude."""
     models = documents.sparkSession.sparkContext.broadcast(fitted(documents))
