@@ -230,6 +230,57 @@ def test_adversarial_texts_take_linear_time(text):
     assert time.time() - began < 6
 
 
+def test_patterns_have_bounded_repetitions():
+    """No pattern of a detector repeats without a bound, within a class's run or a group."""
+    import re
+    from re import _constants, _parser
+
+    patterns = [p for _, p, *_ in (*detect._SHAPES, *detect._GENERIC)] + [detect._ASSIGNED, detect._USER_INFO, detect._SAID, detect._KEY_HEAD] + [shape for found in detect._LABELS.values() for a in found for shape, _ in a.shapes]
+    patterns += [re.compile(p) for _, p, _ in injection.KINDS]
+
+    def unbounded(parsed):
+        for op, arg in parsed:
+            if op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT, getattr(_constants, "POSSESSIVE_REPEAT", None)):
+                if arg[1] == _constants.MAXREPEAT:
+                    yield arg
+                yield from unbounded(arg[2])
+            elif op is _constants.SUBPATTERN:
+                yield from unbounded(arg[3])
+            elif op is _constants.BRANCH:
+                for branch in arg[1]:
+                    yield from unbounded(branch)
+            elif op in (_constants.ASSERT, _constants.ASSERT_NOT):
+                yield from unbounded(arg[1])
+
+    for p in patterns:
+        assert not list(unbounded(_parser.parse(p.pattern, p.flags & ~re.UNICODE))), p.pattern
+
+
+def test_lines(spark):
+    from pyspark.sql import functions as F
+
+    text = "one\ntwo three\n\nfour"
+    for a, b, want in ((4, 7, "two three"), (0, 3, "one"), (15, 19, "four"), (4, 19, "two three\n\nfour"), (14, 14, "")):
+        x, y = chunks.line_of(text, a, b)
+        assert text[x:y] == want
+        row = spark.createDataFrame([(text, a, b)], "t string, a int, b int").select(chunks.line_column(F.col("t"), F.col("a"), F.col("b")).alias("l")).first()
+        assert row.l == want
+
+
+def test_password_verifiers(spark):
+    from pyspark.sql import functions as F
+
+    from veilspark.functions import crypto
+
+    v = crypto.make("secret", n=16)
+    assert crypto.matches("secret", v) and not crypto.matches("Secret", v) and not crypto.matches(None, v) and not crypto.matches("x", None) and not crypto.matches("x", "scrypt$1")
+    assert crypto.needs_rehash(v) and crypto.needs_rehash(None) and not crypto.needs_rehash(crypto.make("x")) and v != crypto.make("secret", n=16)
+    df = spark.createDataFrame([("a", v), ("secret", v), (None, v), ("secret", None)], "p string, v string")
+    assert [r.ok for r in df.select(crypto.verified(F.col("p"), F.col("v")).alias("ok")).collect()] == [False, True, False, False]
+    made = df.where("p is null or v is not null").select("p", crypto.verifier(F.col("p")).alias("n")).collect()
+    assert all((r.n is None) == (r.p is None) and (r.p is None or crypto.matches(r.p, r.n)) for r in made)
+
+
 def test_frames(spark):
     df = spark.createDataFrame([("a", "password=hunter2secret", 1), ("b", None, 2), ("c", "", 3), ("d", "plain", 4), ("e", "x " * 60_000 + "password=hunter2secret", 5)], "k string, t string, entities int")
     got = {r.key: r for r in sc.scrub(df, "k", "t", sc.Options(profiles=("BASE_SECURITY",))).collect()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from veilspark import lexicon as lx
 
 
@@ -37,3 +40,16 @@ def chunks(text: str, span: int, requested: int | None = None) -> list[tuple[int
 def novel(text: str, parts: list[tuple[int, int, int]]) -> str:
     """The parts of all chunks after their overlaps: the text again."""
     return "".join(text[a + o : b] for a, b, o in parts)
+
+
+def line_of(text: str, start: int, end: int) -> tuple[int, int]:
+    """Where the line begins and ends that holds a span (T8); a span over several lines takes them all."""
+    stop = text.find("\n", end)
+    return text.rfind("\n", 0, start) + 1, len(text) if stop < 0 else stop
+
+
+def line_column(text: Column, start: Column, end: Column) -> Column:
+    """The same in the JVM: the text of the line or lines around a span."""
+    before = F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)
+    after = F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1)
+    return F.concat(before, F.substring(text, start + 1, end - start), after)

@@ -110,8 +110,16 @@ class Scope:
             raise NotFound(f"{name} {value}")
         return rows[0].asDict()
 
-    def newest(self, name: str, order: str, key: str, n: int = 50) -> DataFrame:
-        return self.table(name).orderBy(F.desc(order), F.desc(key)).limit(n)
+    def newest(self, name: str, order: str, key: str, n: int = 50, where: Column | None = None) -> DataFrame:
+        rows = self.table(name) if where is None else self.table(name).where(where)
+        return rows.orderBy(F.desc(order), F.desc(key)).limit(n)
+
+    def find_by_digest(self, name: str, content: str, digest: str) -> DataFrame:
+        """Rows whose content has this SHA-256."""
+        return self.table(name).where(F.sha2(content, 256) == digest)
+
+    def counts(self, name: str, *by: str) -> DataFrame:
+        return self.table(name).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def capabilities_for(role: str | None) -> tuple[str, ...]:

@@ -309,3 +309,33 @@ def conversation_window(spark: SparkSession, sf: str) -> DataFrame:
     role = F.when(F.col("is_key"), "user").when(F.col("path").like("%id"), "system").otherwise("assistant")
     turns = f.select("record_id", "field_id", "seq", "value", role.alias("role"))
     return store.conversation_window(turns, "record_id", ["seq", "field_id"], "role", "value").select("record_id", "field_id", "role", "value")
+
+
+@query("SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(min(len(embedding)) AS INTEGER) AS dimensions FROM embeddings GROUP BY label")
+def embedding_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dimensions"))
+
+
+@query("""
+WITH w AS (SELECT min(workspace_id) AS workspace_id FROM workspace), c AS (SELECT DISTINCT record_id, workspace_id, content FROM content_record WHERE content IS NOT NULL)
+SELECT record_id FROM c JOIN w USING (workspace_id) WHERE sha256(content) = (SELECT sha256(c2.content) FROM c c2 JOIN w USING (workspace_id) ORDER BY c2.record_id LIMIT 1)""")
+def found_by_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """In one workspace, the records with the content of its first one, by digest."""
+    first = table(spark, sf, "workspace").agg(F.min("workspace_id")).first()[0]
+    rows = table(spark, sf, "content_record").where("content is not null").select("workspace_id", "record_id", "content").distinct()
+    scope = store.Store({"content_record": rows}).scope(first)
+    digest = scope.table("content_record").orderBy("record_id").limit(1).select(F.sha2("content", 256)).first()[0]
+    return scope.find_by_digest("content_record", "content", digest).select("record_id")
+
+
+@query("""
+SELECT field_id, start_pos, line FROM (
+  SELECT field_id, strpos(value, '@') - 1 AS start_pos, list_last(string_split(left(value, strpos(value, '@') - 1), chr(10))) || '@' || string_split(substr(value, strpos(value, '@') + 1), chr(10))[1] AS line
+  FROM (SELECT DISTINCT field_id, value FROM extracted_field WHERE contains(value, '@')) f) x""")
+def line_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """The line around the first at-sign of every value."""
+    from veilspark.operators.chunks import line_column
+
+    f = table(spark, sf, "extracted_field").where(F.contains("value", F.lit("@"))).select("field_id", "value").distinct()
+    at = F.locate("@", "value") - 1
+    return f.select("field_id", at.cast("bigint").alias("start_pos"), line_column(F.col("value"), at, at + 1).alias("line"))
