@@ -108,6 +108,14 @@ def test_keys_get_roles_by_their_values(spark):
     assert len(got) == 60 and {(r.level, r.component) for r in got} == {(WORDS[d % 4], SERVICES[d % 5]) for d in range(60)}
 
 
+def test_merging_in_parts_gives_the_same_entries(spark, monkeypatch):
+    df = frame(spark, {k: v for k, v in TEXTS.items()}).repartition(7)
+    monkeypatch.setattr(L, "MERGE_PARTS", (1,))
+    one = {tuple(r) for r in L.parse_logs(df, message=False).collect()}
+    monkeypatch.setattr(L, "MERGE_PARTS", (3, 2, 1))
+    assert {tuple(r) for r in L.parse_logs(df, message=False).collect()} == one == EXPECT
+
+
 def test_many_key_sets_do_not_meet_in_one_group():
     m = L.Miner()
     m.record("\n".join('{"ts": "2026-03-01T10:00:00Z", "k%d": "v"}' % d for d in range(3000)))

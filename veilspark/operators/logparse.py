@@ -603,6 +603,8 @@ def log_records(df: DataFrame) -> DataFrame:
 
 #: Templates that may begin an entry, at most: programs have layouts, data have not. More are refused, not cut.
 MAX_TEMPLATES = 50_000
+#: Parts of a bucket that are merged side by side, level by level.
+MERGE_PARTS = (64, 1)
 #: A key whose name tells nothing gets a role from its values if it stands in this share of the objects.
 SUPPORT = 1e-4
 
@@ -610,7 +612,10 @@ SUPPORT = 1e-4
 def mine(records: DataFrame) -> dict:
     """The layouts of all records' entries and the roles of keys, small tables both."""
     mined = cut(records.select("content").mapInArrow(_mine_partition, _MINED).groupBy("kind", "bucket", "template").agg(F.sum("n").alias("n")))
-    merged = mined.where("kind in ('line', 'block')").groupBy("kind", "bucket").applyInArrow(_merge_group, _MINED)
+    # a tree: the templates of all tasks meet in parts first, so that what one task merges of a bucket is few
+    merged = mined.where("kind in ('line', 'block')")
+    for parts in MERGE_PARTS:
+        merged = merged.groupBy("kind", "bucket", F.pmod(F.xxhash64("template"), F.lit(parts)).alias("part")).applyInArrow(_merge_group, _MINED)
     possible = merged.mapInArrow(_possible, _MINED).limit(MAX_TEMPLATES + 1).collect()
     if len(possible) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates of entries: these are no logs of programs")
