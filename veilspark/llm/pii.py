@@ -1,8 +1,8 @@
 """Personal information in free text, by anchor expansion.
 
 The text is folded (full-width forms, look-alikes, odd spaces, invisible characters) with its positions
-kept. One Aho-Corasick pass over it finds anchors: at-signs and their evasive spellings, street words,
-given names, and cues that announce a name or an identity number; one pattern finds runs of digits.
+kept. One Aho-Corasick pass over it finds anchors: at-signs and their evasive spellings, digits, street words,
+given names, and cues that announce a name.
 From each anchor a deterministic local parser expands to the left and right and validates the
 boundaries: an address part by part, a mail address label by label (not the user and host of a
 connection string), a telephone by its country's plan, an identity number by its issuer's form, a name
@@ -111,6 +111,7 @@ class Finder:
         words |= {w: "E" for w in ("calle ", "avenida ", "avda. ", "plaza ", "paseo ", "c/ ")}
         # all beginnings of _EVASIVE_AT, and the sign itself
         words |= {"@": "@", **{f"{b}@": "@" for b in "[({"}, **{f"{b}{gap}{at}": "@" for b in "[({<" for gap in ("", " ", "\t", "\n") for at in ("at", "ät", "arroba")}}
+        words |= {d: "D" for d in "0123456789"}
         words |= {w: "C" for w in CUES}
         words |= {g: "N" for g in self.given}
         self.automaton = ahocorasick.Automaton()
@@ -190,8 +191,17 @@ class Finder:
         low = t.lower()
         if len(low) != len(t):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
-        done_name = done_address = done_mail = -1
+        done_name = done_address = done_mail = done_run = -1
+        digit = -2
+        named = bool(_ID_PATH.search(path))
         for last, (kinds, n) in self.automaton.iter(low):
+            if kinds == "D":
+                if last != digit + 1:  # the first digit of a run
+                    self._identity(t, last, named, found)
+                    if last >= done_run:
+                        done_run = self._number(t, last, named, found)
+                digit = last
+                continue
             a, b = last - n + 1, last + 1
             for kind in kinds:
                 if kind == "@":
@@ -227,7 +237,6 @@ class Finder:
                     if m and m.start() <= last and m.end() >= b:
                         found.append((m.start(), m.end(), "ADDRESS"))
                         done_address = m.end()
-        self._numbers(t, path, found)
         self._path(t, path, found)
         if "\n" in t or ": " in t:
             if _PAYLOAD_HEAD.match(t) or _PAYLOAD_HEAD.search(t):
@@ -259,30 +268,45 @@ class Finder:
         return self._name_at(t, start, False)
 
     @staticmethod
-    def _numbers(t: str, path: str, found: list[Span]) -> None:
-        named = bool(_ID_PATH.search(path))
-        for m in _DIGITS.finditer(t):
-            a, run = m.start(), m[0]
-            if a and t[a - 1] in ".,-/#$€£@:" and t[a - 1] not in ",:" or (a > 1 and t[a - 1] == "-"):
-                continue
+    def _number(t: str, at: int, named: bool, found: list[Span]) -> int:
+        """A telephone or identity number whose first digit is at ``at``; returns where the next may begin."""
+        m = None
+        if at and t[at - 1] in "+(":
+            m = _DIGITS.match(t, at - 1)
+        m = m or _DIGITS.match(t, at)
+        if not m:
+            return at + 1
+        a, run = m.start(), m[0]
+        if a and t[a - 1] in ".-/#$€£@" or (a > 1 and t[a - 1] == "-"):
+            return m.end()
+        got = PHONE.match(t, a)
+        if not got and run[0] == "(":  # the bracket is the text's, not the number's
+            a, run = a + 1, run[1:]
             got = PHONE.match(t, a)
-            if not got and run[0] == "(":  # the bracket is the text's, not the number's
-                a, run = a + 1, run[1:]
-                got = PHONE.match(t, a)
-            digits = sum(c.isdigit() for c in got[0]) if got else 0
-            if got and digits >= 9 and not re.match(r"[ .-]?\d|[\w]", t[got.end() : got.end() + 2]):
-                found.append((a, got.end(), "PHONE"))
-                continue
-            at = a + (run[0] in "(+")
-            if got := _SSN.match(t, at):
-                found.append((at, got.end(), "NATIONAL_ID"))
-            elif re.fullmatch(r"\d{9}", run.strip()) and (named or _ID_CUE.search(t, max(0, a - 50), a) or _line_names_id(t, a)):
-                found.append((a, a + 9, "NATIONAL_ID"))
-        for pattern in (_NINO, _DNI, _SPACED_SSN):
-            for m in pattern.finditer(t):
-                if pattern is _DNI and m[0][:8].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[0][:8]) % 23] != m["l"] and not (named or _ID_CUE.search(t, max(0, m.start() - 50), m.start())):
-                    continue
+        digits = sum(c.isdigit() for c in got[0]) if got else 0
+        if got and digits >= 9 and not re.match(r"[ .-]?\d|[\w]", t[got.end() : got.end() + 2]):
+            found.append((a, got.end(), "PHONE"))
+            return m.end()
+        first = a + (run[0] in "(+")
+        if got := _SSN.match(t, first):
+            found.append((first, got.end(), "NATIONAL_ID"))
+        elif re.fullmatch(r"\d{9}", run.strip()) and (named or _ID_CUE.search(t, max(0, a - 50), a) or _line_names_id(t, a)):
+            found.append((a, a + 9, "NATIONAL_ID"))
+        return m.end()
+
+    @staticmethod
+    def _identity(t: str, at: int, named: bool, found: list[Span]) -> None:
+        """An identity number of letters and digits around the first digit of a run, or of single digits."""
+        for start in (at - 2, at - 3):
+            if start >= 0 and (m := _NINO.match(t, start)):
                 found.append((m.start(), m.end(), "NATIONAL_ID"))
+        for start in (at, at - 1):
+            if start >= 0 and (m := _DNI.match(t, start)):
+                wrong = m[0][:8].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[0][:8]) % 23] != m["l"]
+                if not wrong or named or _ID_CUE.search(t, max(0, m.start() - 50), m.start()):
+                    found.append((m.start(), m.end(), "NATIONAL_ID"))
+        if m := _SPACED_SSN.match(t, at):
+            found.append((m.start(), m.end(), "NATIONAL_ID"))
 
     @staticmethod
     def _path(v: str, path: str, found: list[Span]) -> None:
