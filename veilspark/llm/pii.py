@@ -50,16 +50,16 @@ NOT_NAMES = frozenset(
     """the this that these those there then thank thanks please see our your their his her its my we you they he she it i an a in on at of for to from by with and or but not no
     note update dear kind best regards part invoice total charge follow deliver write call paste use identity saint san são santa st mount port lake new old north south east west
     clinic hospital school station street road lane avenue drive court way place close square bridge ferry weir harbour harbor farm park house tower hall church abbey mill mills depot
-    bank energy foods insurance shipping telecom media rail water timber textiles estates engineering logistics pharma holdings co-operative company group ltd plc llc inc gmbh ag sa sons services society institute university college ministry council committee department office team desk release
+    bank energy foods insurance shipping telecom media rail water timber estates engineering logistics pharma holdings co-operative company group ltd plc llc inc gmbh ag sa sons services society institute university college ministry council committee department office team desk
     train monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
     flat apt apartment suite unit level error warning information critical verbose date source description event id none null true false import class public private final void string system java python""".split()
 )
 CUES = {
     # cue: whether the name that follows must begin right behind it
     "mr ": 0, "mrs ": 0, "ms ": 0, "dr ": 0, "mr. ": 0, "mrs. ": 0, "ms. ": 0, "dr. ": 0, "prof. ": 0, "herr ": 0, "frau ": 0, "mme ": 0, "dear ": 0, "hello ": 0, "hi ": 0,
-    "call ": 0, "contactez ": 0, "contact ": 0, "deliver to ": 0, "i am ": 0, "my name is ": 0, "client ": 0, "holder ": 0, "resident ": 0, "customer ": 0, "patient ": 0, "passed on to ": 0,
+    "call ": 0, "contact ": 0, "deliver to ": 0, "i am ": 0, "my name is ": 0, "client ": 0, "holder ": 0, "resident ": 0, "customer ": 0, "patient ": 0, 
     "reviewed by ": 0, "author: ": 0, "author ": 0, "owner ": 0, "owner: ": 0, "maintainer: ": 0, "maintainer ": 0, "ask ": 0, "user: ": 0, "signed by ": 0, "written by ": 0, "approved by ": 0, " by ": 0,
-    "attn ": 0, "attn: ": 0, "name: ": 0, "actor: ": 0, 'owner="': 0, "name=\"": 0, "regards,\n": 0, "regards,\r\n": 0, "sincerely,\n": 0, "yours,\n": 0, "grüßen\n": 0, "oncall ": 0, "behalf of ": 0,
+    "attn ": 0, "attn: ": 0, "name: ": 0, "actor: ": 0, 'owner="': 0, "name=\"": 0, "regards,\n": 0, "regards,\r\n": 0, "sincerely,\n": 0, "yours,\n": 0, "grüßen\n": 0, "behalf of ": 0,
 }
 STREETS = tuple(
     "street road lane avenue drive court place close terrace crescent square boulevard parkway highway st. rd. ave. ln. dr. ct. blvd. st rd ave ln blvd way row hill walk gardens mews quay".split()
