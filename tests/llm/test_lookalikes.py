@@ -109,3 +109,12 @@ def test_vocabulary_does_not_depend_on_the_switch(spark, monkeypatch):
     below = {r[0] for r in lk.vocabulary(df).collect()}
     monkeypatch.setattr(lk, "MAX_BROADCAST", 0)
     assert {r[0] for r in lk.vocabulary(df).collect()} == below == {"cable"}
+
+
+def test_texts_without_a_group_belong_to_the_corpus(spark):
+    content = spark.createDataFrame([(1, "w", "s", "rеlease"), (2, "w", "s", "release "), (3, None, "s", "the release"), (4, "w", "s", "release")], "record_id bigint, workspace_id string, source_identifier string, content string")
+    fields = spark.createDataFrame([], "field_id bigint, record_id bigint, value string")
+    assert {tuple(r) for r in lk.look_alike_pairs(content, fields).collect()} == {("content", 1, 4)}
+    assert {tuple(r) for r in lk.look_alike_pairs(content.where("record_id in (1, 3)"), fields).collect()} == set()
+    got = {r.key: r.canonical for r in lk.consistent(lk.grouped(content.where("record_id in (1, 3)"), fields).select("src", "key", "text")).collect()}
+    assert got == {1: "release"}

@@ -109,21 +109,21 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _MARKED = pa.schema([
-    ("src", pa.string()), ("key", pa.int64()), ("stored", pa.binary()), ("plain", pa.string()), ("form", pa.binary()),
+    ("src", pa.string()), ("g", pa.string()), ("key", pa.int64()), ("stored", pa.binary()), ("plain", pa.string()), ("form", pa.binary()),
     ("wanted", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("spelling", pa.string()), ("repair", pa.string())]))),
 ])
-_MARKED_DDL = "src string, key bigint, stored binary, plain string, form binary, wanted array<struct<start:int,end:int,spelling:string,repair:string>>"
+_MARKED_DDL = "src string, g string, key bigint, stored binary, plain string, form binary, wanted array<struct<start:int,end:int,spelling:string,repair:string>>"
 
 
 def _mark(whole: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for src, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for src, g, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 plain = fd.plain(text)
                 wanted = repairs(plain)
                 rows.append({
-                    "src": src, "key": key, "stored": _digest(text), "plain": plain if wanted or whole else None, "form": None if wanted else _digest(plain),
+                    "src": src, "g": g, "key": key, "stored": _digest(text), "plain": plain if wanted or whole else None, "form": None if wanted else _digest(plain),
                     "wanted": [{"start": a, "end": b, "spelling": old, "repair": new} for a, b, old, new in wanted],
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=_MARKED)
@@ -132,16 +132,16 @@ def _mark(whole: bool):
 
 
 def marked(texts: DataFrame, whole: bool = False) -> DataFrame:
-    """The non-ASCII rows of ``texts`` (src, key, text) with the repairs each wants, written once; a text that wants
-    none has its form already, and its plain text only if ``whole``."""
-    odd = texts.where(F.col("text").rlike(NON_ASCII)).select("src", F.col("key").cast("bigint"), "text")
-    return cut(odd.mapInArrow(_mark(whole), _MARKED_DDL).dropDuplicates(["src", "key", "stored"]))
+    """The non-ASCII rows of ``texts`` (src, g, key, text) with the repairs each wants, written once; a text that wants
+    none has its form already, and its plain text only if ``whole``. ``g`` names a row's group."""
+    odd = texts.where(F.col("text").rlike(NON_ASCII)).select("src", "g", F.col("key").cast("bigint"), "text")
+    return cut(odd.mapInArrow(_mark(whole), _MARKED_DDL).dropDuplicates(["src", "g", "key", "stored"]))
 
 
 def vocabulary(texts: DataFrame, odd: DataFrame | None = None) -> DataFrame:
     """The repairs (one column ``repair``) wanted by some text that exist in the corpus: the column ``text`` of ``texts``."""
     if odd is None:
-        odd = marked(texts.select(F.lit("").alias("src"), F.monotonically_increasing_id().alias("key"), F.col(texts.columns[0]).alias("text")))
+        odd = marked(texts.select(F.lit("").alias("src"), F.lit("").alias("g"), F.monotonically_increasing_id().alias("key"), F.col(texts.columns[0]).alias("text")))
         texts = texts.select(F.col(texts.columns[0]).alias("text"))
     wanted = odd.select(F.explode("wanted").alias("w")).select("w.repair", "w.spelling")
     counted = cut(wanted.groupBy("repair").agg(F.count_distinct("spelling").alias("n")))
@@ -179,52 +179,49 @@ def digest_of(value: Column) -> Column:
 
 
 def formed(odd: DataFrame, known: DataFrame, whole: bool = False) -> DataFrame:
-    """``src, key, stored, form`` of marked rows, with the ``canonical`` text if ``whole``: the repairs that exist are
+    """``src, g, key, stored, form`` of marked rows, with the ``canonical`` text if ``whole``: the repairs that exist are
     joined to the rows that want them, and made together."""
     keys = ["src", "key", "stored"]
     asked = odd.where(F.size("wanted") > 0).select(*keys, F.explode("wanted").alias("w")).select(*keys, "w.start", "w.end", "w.repair")
     granted = asked.join(known, "repair").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "end", "repair"))).alias("granted"))
-    every = odd.select(*keys, "plain", "form").join(granted, keys, "left")
+    every = odd.join(granted, keys, "left").select("src", "g", "key", "stored", "plain", "form", "granted")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             forms, texts = [], []
-            for plain, form, got in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
+            for plain, form, got in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6))):
                 text = plain if form is not None or not got else repaired(plain, [(g["start"], g["end"], g["repair"]) for g in got])
                 forms.append(form if form is not None else _digest(text))
                 texts.append(text if whole else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(forms, pa.binary()), pa.array(texts, pa.string())], names=["src", "key", "stored", "form", "canonical"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(forms, pa.binary()), pa.array(texts, pa.string())], names=["src", "g", "key", "stored", "form", "canonical"])
 
-    out = every.mapInArrow(run, "src string, key bigint, stored binary, form binary, canonical string")
+    out = every.mapInArrow(run, "src string, g string, key bigint, stored binary, form binary, canonical string")
     return out if whole else out.drop("canonical")
 
 
 def consistent(texts: DataFrame) -> DataFrame:
     """``src, key, canonical`` of every row of ``texts`` (src, key, text) that is not ASCII: its consistent form."""
-    odd = marked(texts, whole=True)
+    odd = marked(texts.withColumn("g", F.lit("")), whole=True)
     return formed(odd, cut(vocabulary(texts, odd)), whole=True).select("src", "key", "stored", "canonical")
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """``src, g1, g2, form, stored, key`` of all texts whose form some text of their group has that is not ASCII.
+    """``src, g, form, stored, key`` of all texts whose form some text of their group has that is not ASCII.
 
-    ``rows`` has src, g1, g2, key and text; only within a group are texts compared. Of the ASCII texts
-    just those are kept whose digest is the form of another one.
+    ``rows`` has src, g, key and text; only within a group are texts compared, and rows without one are in no
+    class, but their texts belong to the corpus whose vocabulary is asked. Of the ASCII texts just those are
+    kept whose digest is the form of another one.
     """
-    rows = rows.where(F.col("text").isNotNull() & F.col("g1").isNotNull() & F.col("g2").isNotNull()).withColumn("key", F.col("key").cast("bigint"))
-    texts = rows.select("src", "key", "text")
-    odd = marked(texts)
-    forms = formed(odd, cut(vocabulary(texts, odd)))
-    group = ["src", "g1", "g2"]
+    rows = rows.where(F.col("text").isNotNull()).withColumn("key", F.col("key").cast("bigint"))
+    odd = marked(rows)
+    odd_rows = cut(formed(odd, cut(vocabulary(rows.select("text"), odd))).where(F.col("g").isNotNull()).select(*_AT, "stored", "key"))
     value = F.col("text")
-    places = rows.where(value.rlike(NON_ASCII)).select(*group, "key", digest_of(value).alias("stored")).distinct()
-    odd_rows = cut(places.join(forms, ["src", "key", "stored"]).select(*group, "form", "stored", "key"))
-    plain = rows.where(~value.rlike(NON_ASCII)).select(*group, digest_of(value).alias("form"), digest_of(value).alias("stored"), "key")
-    plain = plain.join(odd_rows.select(*group, "form").distinct(), [*group, "form"], "left_semi").distinct()
+    plain = rows.where(~value.rlike(NON_ASCII) & F.col("g").isNotNull()).select("src", "g", digest_of(value).alias("form"), digest_of(value).alias("stored"), "key")
+    plain = plain.join(odd_rows.select(*_AT).distinct(), _AT, "left_semi").distinct()
     return cut(odd_rows.unionByName(plain))
 
 
-_AT = ["src", "g1", "g2", "form"]
+_AT = ["src", "g", "form"]
 
 
 def classes(found: DataFrame) -> DataFrame:
@@ -232,7 +229,7 @@ def classes(found: DataFrame) -> DataFrame:
     taken by text first, so a text of many copies is one row when they are."""
     texts = found.groupBy(*_AT, "stored").agg(F.count(F.lit(1)).alias("n"))
     sizes = texts.groupBy(*_AT).agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_rows")).where("n_texts > 1")
-    name = F.substring(F.sha2(F.concat_ws("|", "src", "g1", "g2", F.hex("form")), 256), 1, 32)
+    name = F.substring(F.sha2(F.concat_ws("|", "src", "g", F.hex("form")), 256), 1, 32)
     return found.join(sizes, _AT).select("src", "key", name.alias("class_id"), "n_texts", "n_rows")
 
 
@@ -252,8 +249,9 @@ def pairs(found: DataFrame) -> DataFrame:
 
 def grouped(content: DataFrame, fields: DataFrame) -> DataFrame:
     """The rows of both tables that are compared: fields of a record, records of a source of a workspace."""
-    of_content = content.select(F.lit("content").alias("src"), F.col("workspace_id").alias("g1"), F.col("source_identifier").alias("g2"), F.col("record_id").alias("key"), F.col("content").alias("text"))
-    of_fields = fields.select(F.lit("field").alias("src"), F.col("record_id").cast("string").alias("g1"), F.lit("").alias("g2"), F.col("field_id").alias("key"), F.col("value").alias("text"))
+    # concat is NULL where a part is
+    of_content = content.select(F.lit("content").alias("src"), F.concat("workspace_id", F.lit("\n"), "source_identifier").alias("g"), F.col("record_id").alias("key"), F.col("content").alias("text"))
+    of_fields = fields.select(F.lit("field").alias("src"), F.col("record_id").cast("string").alias("g"), F.col("field_id").alias("key"), F.col("value").alias("text"))
     return of_content.unionByName(of_fields)
 
 
