@@ -57,7 +57,7 @@ NOT_NAMES = frozenset(
 CUES = {
     # cue: whether the name that follows must begin right behind it
     "mr ": 0, "mrs ": 0, "ms ": 0, "dr ": 0, "mr. ": 0, "mrs. ": 0, "ms. ": 0, "dr. ": 0, "prof. ": 0, "herr ": 0, "frau ": 0, "mme ": 0, "dear ": 0, "hello ": 0, "hi ": 0,
-    "call ": 0, "contact ": 0, "deliver to ": 0, "i am ": 0, "my name is ": 0, "client ": 0, "holder ": 0, "resident ": 0, "customer ": 0, "patient ": 0, 
+    "call ": 0, "contactez ": 0, "passed on to ": 0, "contact ": 0, "deliver to ": 0, "i am ": 0, "my name is ": 0, "client ": 0, "holder ": 0, "resident ": 0, "customer ": 0, "patient ": 0, 
     "reviewed by ": 0, "author: ": 0, "author ": 0, "owner ": 0, "owner: ": 0, "maintainer: ": 0, "maintainer ": 0, "ask ": 0, "user: ": 0, "signed by ": 0, "written by ": 0, "approved by ": 0, " by ": 0,
     "attn ": 0, "attn: ": 0, "name: ": 0, "actor: ": 0, 'owner="': 0, "name=\"": 0, "regards,\n": 0, "regards,\r\n": 0, "sincerely,\n": 0, "yours,\n": 0, "grüßen\n": 0, "behalf of ": 0,
 }
